@@ -10,12 +10,58 @@ from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality_rules import judge
 from corpusloom.llm.simhash import near_duplicates
 from corpusloom.llm.token_store import read_tokens, write_tokens
+from corpusloom.llm.url_filter import Rule, filter_urls
+from corpusloom.llm.warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
+#: The listed URLs are made by a rule: every 13th number below 60,000 in each language on these hosts.
+LISTED_HOSTS = ["tionsh.example.net", "tionble.example.com", "tiontion.example.com", "ththth.example.net", "tionble.example.org", "ththon.example.org"]
+LISTED_LANGS = ["en", "de", "fr", "es"]
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    numbers = spark.range(0, 60_000, 13).withColumnRenamed("id", "n")
+    hosts = F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("host")
+    langs = F.explode(F.array(*map(F.lit, LISTED_LANGS))).alias("lang")
+    return numbers.select("n", hosts).select("n", "host", langs).select(F.format_string("https://%s/%s/%d", "host", "lang", "n").alias("url"))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filter_urls(_table(spark, sf_dir, "pages"), listed_urls(spark), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
+
+
+OP1_SQL = r"""
+with listed as (
+  select distinct h || '/' || l || '/' || cast(n as varchar) as key
+  from range(0, 60000, 13) t(n), (values ('tionsh.example.net'), ('tionble.example.com'), ('tiontion.example.com'), ('ththth.example.net'), ('tionble.example.org'), ('ththon.example.org')) hs(h),
+       (values ('en'), ('de'), ('fr'), ('es')) ls(l)
+), cut as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest, coalesce(instr(url, '://') > 0, false) as has from pages
+), parts as (
+  select page_id, has, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) as q from cut
+), canon as (
+  select page_id, host, path,
+         case when has then regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '')
+           || case when len(ps) > 0 then '?' || array_to_string(ps, '&') else '' end end as canonical
+  from (select *, list_sort(list_filter(string_split(q, '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]*|ref|fbclid|gclid)(=|$)'))) as ps from parts)
+), rules as (
+  select * from (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) r(rh, rp, rv)
+), fitting as (
+  select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(rv, length(rh || rp)) as rv
+  from canon join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id
+)
+select c.page_id, host, path, rule, coalesce(rv, case when l.key is not null then 'block' else 'allow' end) as verdict, canonical, l.key is not null as listed
+from canon c left join fitting using (page_id) left join listed l on c.canonical = l.key
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -26,6 +72,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text", "lang")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_archives(_table(spark, sf_dir, "pages"))
+    return read_archives(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), heads as (
+  select hex, payload_bytes, max(page_id) as head from p group by hex, payload_bytes
+)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         cast(((cast('0x' || substr(hex, cast(i // 4 * 5 + 1 as integer), 5) as bigint) >> cast(15 - 5 * (i % 4) as integer)) & 31) + 1 as integer), 1)), '') as payload_digest,
+       case when page_id = head then 'response' else 'revisit' end as record_type, case when page_id = head then null else head end as refers_to
+from p join heads using (hex, payload_bytes)
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -90,11 +155,13 @@ from docs d left join places using (doc_id) left join items using (doc_id)
 """
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_store": op8_token_store,
     "op9_packing": op9_packing,
     "op10_winnowing": op10_winnowing,
 }
-ORACLES = {"op7_line_dedup": OP7_SQL.strip(), "op10_winnowing": OP10_SQL.strip()}
+ORACLES = {"op1_url_filter": OP1_SQL.strip(), "op6_warc": OP6_SQL.strip(), "op7_line_dedup": OP7_SQL.strip(), "op10_winnowing": OP10_SQL.strip()}
