@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm.decontaminate import contamination
+from corpusloom.llm.license_scan import scan_licenses
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality_rules import judge
@@ -72,6 +73,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text", "lang")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(_table(spark, sf_dir, "pages"))
     return read_archives(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -158,6 +164,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op5_license_scan": op5_license_scan,
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_store": op8_token_store,
