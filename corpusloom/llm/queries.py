@@ -8,6 +8,7 @@ from corpusloom.llm.decontaminate import contamination
 from corpusloom.llm.license_scan import scan_licenses
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.quality_classifier import classify
 from corpusloom.llm.quality_rules import judge
 from corpusloom.llm.simhash import near_duplicates
 from corpusloom.llm.token_store import read_tokens, write_tokens
@@ -73,6 +74,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text", "lang")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
@@ -164,6 +169,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_license_scan": op5_license_scan,
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
