@@ -1,5 +1,9 @@
 """All queries outside the training-data subpackage."""
 
+import importlib
+
 from corpusloom.plans.registry import Catalogue
 
 ENTRIES: Catalogue = Catalogue()
+for _group in ("text_queries",):
+    ENTRIES.update(importlib.import_module(f"corpusloom.plans.{_group}").QUERIES)
