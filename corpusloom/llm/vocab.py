@@ -14,11 +14,10 @@ import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
-END = "<|endoftext|>"
 PIECE_BPE = "piece_bpe_32k.model"
 
-#: Letters that no normalisation but lower-casing changes, then ASCII punctuation: one or two pre-tokens.
-_PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-/:-@\\[-`{-~]*)")
+#: Letters that no normalisation but lower-casing changes, then ASCII punctuation; perhaps a line break and the same again.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-/:-@\\[-`{-~]*)(?:\\n([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*))?")
 _AMBIGUOUS = re.compile(r"^ | \s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
@@ -34,7 +33,7 @@ _VISIBLE = _visible_bytes()
 
 
 def _visible(text: str) -> str:
-    return text if text.isascii() and " " not in text else text.encode().decode("latin-1").translate(_VISIBLE)
+    return text if text.isascii() and text.isprintable() and " " not in text else text.encode().decode("latin-1").translate(_VISIBLE)
 
 
 def vocabulary_path(name: str) -> str:
@@ -44,13 +43,25 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Ids of pieces of text; a missing one is learnt when it is first asked for."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, piece):
+        found = self[piece] = self.learn(piece)
+        return found
+
+
 class Encoder:
     """Ids of texts under one tokenizers file.
 
     white_space "dropped": the tokenizer drops white space, so texts are cut at
     ASCII white space.  "joined": a word takes one space before it, so texts are
-    cut before a space that a word follows.
-    max_entries bounds what is remembered.
+    cut before a space that a word follows.  Plain pieces (letters, then marks)
+    go straight to the tokenizer's BPE model, pre-token by pre-token; all others
+    take its whole course.  max_entries bounds what is remembered.
     """
 
     def __init__(self, path: str, white_space: str, max_entries: int = 600_000):
@@ -59,76 +70,64 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
+        self.bpe = self.tokenizer.model.tokenize
         self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
-        self.mark, self.mark_id = END, self.tokenizer.token_to_id(END)
         self.dropped = white_space == "dropped"
         self.max_entries = max_entries
-        self.known: dict[str | bytes, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list:
+        self.marks = _Known(self._direct)
+        self.known = _Known(self._learn_word if self.dropped else self._learn_spaced)
+        self.whole = _Known(self._course)  # pieces that stand at the start of a text, or in one with runs of white space
+
+    def _direct(self, token: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = self.id_bytes
+        return b"".join([ids[t.id] for t in self.bpe(_visible(token))])
+
+    def _course(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_word(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        m = _PLAIN.fullmatch(text)
+        if not m or m[3] is not None:
+            return self._course(text)
+        letters, rest = m[1].lower(), m[2]
+        if not letters:
+            return self.marks[rest] if len(self.marks) < 20_000 else self._direct(rest)
+        key = letters.encode()
+        found = self._direct(letters) if key == piece else self.known[key]
+        return found + self.marks[rest] if rest else found
+
+    def _learn_spaced(self, piece: str) -> bytes:
+        """Ids of a space and the piece."""
+        if piece.isascii() and piece.isalpha():
+            ids = self.id_bytes
+            return b"".join([ids[t.id] for t in self.bpe("\u0120" + piece)])
+        m = _PLAIN.fullmatch(piece)
+        if not m or not m[1]:
+            return self._course(" " + piece)
+        letters, rest, letters2, rest2 = m.groups()
+        found = self.known[letters] if rest or letters2 is not None else self._direct(" " + letters)
+        if rest:
+            found += self.marks[rest]
+        if letters2 is not None:
+            found += self.marks["\n"] + self._direct(letters2) + (self.marks[rest2] if rest2 else b"")
+        return found
+
+    def _encode_one(self, text: str) -> bytes:
         if self.dropped:
-            return text.encode().split()
+            return b"".join(map(self.known.__getitem__, text.encode().split()))
         if _AMBIGUOUS.search(text):
-            return _BEFORE_WORD.split(text)
+            return b"".join(map(self.whole.__getitem__, _BEFORE_WORD.split(text)))
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _learn(self, new: list) -> None:
-        """Plain pieces go straight to the tokenizer's BPE model, pre-token by pre-token.
-
-        The rest take its whole course, many in one call: a special token stands
-        between them, and the ids are cut at its id.
-        """
-        texts = [p.decode() for p in new] if self.dropped else new
-        known, bpe, ids, other = self.known, self.model.tokenize, self.id_bytes, []
-        for piece, text in zip(new, texts, strict=True):
-            if text and (m := _PLAIN.fullmatch(text)):
-                space, letters, rest = m.groups()
-                word = space + letters if letters else ""
-                if self.dropped:
-                    word = word.lower()
-                key = word.encode() if self.dropped else word
-                if word and (found := known.get(key)) is None:
-                    found = known[key] = b"".join([ids[t.id] for t in bpe(_visible(word))])
-                elif not word:
-                    found, rest = b"", space + rest
-                if rest:
-                    marks = self.marks.get(rest)
-                    if marks is None:
-                        marks = b"".join([ids[t.id] for t in bpe(_visible(rest))])
-                        if len(self.marks) < 10_000:
-                            self.marks[rest] = marks
-                    found += marks
-                known[piece] = found
-            else:
-                other.append(piece)
-        new, texts = other, [p.decode() for p in other] if self.dropped else other
-        joined = [k for k, t in enumerate(texts) if self.mark not in t]
-        for k in range(0, len(joined), 2048):
-            part = joined[k : k + 2048]
-            self.tokenizer.encode_special_tokens = False
-            ids = np.array(self.tokenizer.encode(self.mark.join([texts[i] for i in part]), add_special_tokens=False).ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            if len(ends) != len(part):
-                raise RuntimeError("the tokenizer did not keep its special token apart")
-            start = 0
-            for i, end in zip(part, ends, strict=True):
-                self.known[new[i]] = ids[start:end].tobytes()
-                start = end + 1
-        self.tokenizer.encode_special_tokens = True
-        for k in set(range(len(texts))) - set(joined):
-            self.known[new[k]] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+        return self.whole[first] + b"".join(map(self.known.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self._pieces(x) for x in texts]
-        if len(self.known) > self.max_entries:
-            self.known = {}
-        known = self.known
-        self._learn([p for p in {p for pieces in cut for p in pieces} if p not in known])
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        for held in (self.known, self.whole, self.marks):
+            if len(held) > self.max_entries:
+                held.clear()
+        return [self._encode_one(x) for x in texts]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
