@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import patterns as P
 from corpusloom.shipping import ship
@@ -71,9 +71,16 @@ def recursive_split(docs: DataFrame, text: str, size: int, overlap: int) -> Data
 
 
 def concat_by(rows: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
-    """Texts of a key joined by blank lines in order, cut at `most` characters, and their number."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
-    return rows.groupBy(key).agg(F.substring(F.array_join(ordered, "\n\n"), 1, most).alias("joined"), F.count("*").alias("n"))
+    """Texts of a key joined by blank lines in order, cut at `most` characters, and their number.
+
+    Every text adds two characters at least, so the first most / 2 + 1 rows of a
+    key are enough; the limit is applied before rows of a key are brought together.
+    """
+    enough = most // 2 + 1
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("rn") <= enough)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("rn"), F.substring(text, 1, most).alias("t")))), lambda x: x["t"])
+    joined = first.groupBy(key).agg(F.substring(F.array_join(ordered, "\n\n"), 1, most).alias("joined"))
+    return joined.join(rows.groupBy(key).agg(F.count("*").alias("n")), key)
 
 
 def route_formats(files: DataFrame, switches: set[str]) -> DataFrame:

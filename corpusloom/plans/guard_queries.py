@@ -204,13 +204,16 @@ SQL_UNIT = "list_transform(embedding, lambda x: cast(x as double))"
 @QUERIES.add("""
 select vec_id, max(cs) >= 0.30 as attack, round(max(cs), 6) as top from (
   select e.vec_id, list_cosine_similarity(list_transform(e.embedding, lambda x: cast(x as double)), list_transform(a.embedding, lambda x: cast(x as double))) as cs
-  from embeddings e cross join (select embedding from embeddings where vec_id < 8) a) group by vec_id
+  from embeddings e cross join (select embedding from embeddings where label = 3) a where e.label <> 3) group by vec_id
 """)
 def similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    corpus = e.select("vec_id", F.col("embedding").alias("v"))
-    attacks = e.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # the phrase list is short by nature
-    scored = similarity.unit(corpus, "v").join(F.broadcast(similarity.unit(attacks, "q")), F.lit(True)).select("vec_id", similarity.dot(F.col("q"), F.col("v")).alias("cs"))
+    corpus = e.filter("label <> 3").select("vec_id", F.col("embedding").alias("v"))
+    attacks = e.filter("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = None
+    for part in similarity.query_blocks(similarity.unit(attacks, "q"), "query_id"):
+        found = similarity.unit(corpus, "v").join(F.broadcast(part), F.lit(True)).select("vec_id", similarity.dot(F.col("q"), F.col("v")).alias("cs"))
+        scored = found if scored is None else scored.unionByName(found)
     return scored.groupBy("vec_id").agg((F.max("cs") >= 0.30).alias("attack"), F.round(F.max("cs"), 6).alias("top"))
 
 

@@ -176,6 +176,6 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(split).cast("long").alias("n_sentences"), F.size(F.filter(split, lambda x: F.char_length(F.trim(x)) > 25)).cast("long").alias("n_factual"))
 
 
-@QUERIES.add("select source, sha256(substr(string_agg(left(text, 200), chr(10) || chr(10) order by doc_id), 1, 6000)) as joined, count(*) as n from documents group by source")
+@QUERIES.add("select source, sha256(substr(string_agg(text, chr(10) || chr(10) order by doc_id), 1, 6000)) as joined, count(*) as n from documents group by source")
 def doc_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.concat_by(table(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 200).alias("text")), "source", "doc_id", "text", 6000).select("source", F.sha2(F.col("joined").cast("binary"), 256).alias("joined"), "n")
+    return chunking.concat_by(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text", 6000).select("source", F.sha2(F.col("joined").cast("binary"), 256).alias("joined"), "n")
