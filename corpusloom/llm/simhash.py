@@ -70,8 +70,8 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataFrame:
-    """(doc_id, fp) for every row of docs(doc_id, text, ...); a null text has no words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, text_key, fp) for every row of docs(doc_id, text, ...); a null text has no words, text_key is its xxhash64."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,9 +79,9 @@ def fingerprints(docs: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataFram
             fps = np.zeros(batch.num_rows, np.uint64)
             for i in range(batch.num_rows):
                 fps[i] = fingerprint(text[i].as_py() or b"", spec.shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(fps.view(np.int64))], schema=schema)
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, "doc_id long, text_key long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -207,9 +207,9 @@ def links(distinct_fps: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs(doc_id, text, ...).
+    """(doc_id, text_key, fp, root, component_id) for every row of docs(doc_id, text, ...).
 
-    component_id is the smallest doc_id reachable over links of at most
+    root names the group whatever its ids; component_id is the smallest doc_id reachable over links of at most
     max_bits differing bits.  Null and wordless texts have fingerprint 0 and
     link like any other; equal rows all stay; rows of a null doc_id take part
     and get their group's smallest known id (null if it has none).  An empty
@@ -220,5 +220,5 @@ def near_duplicates(docs: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataF
     roots = connected_components(links(distinct.select("fp"), spec))
     by_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = by_root.join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = by_root.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "text_key", "fp", "root", "component_id")

@@ -27,7 +27,7 @@ from corpusloom.llm.workspace import arrow_map, cut, file_system, fresh_dir, sli
 
 @dataclass(frozen=True)
 class TokenStoreSpec:
-    """end_id closes each document; encoding "dictionary" or "delta"; a row group closes at group_tokens."""
+    """end_id closes each document; encoding "dictionary" or "delta"; a row group closes at group_tokens, looked at after every batch_docs documents."""
 
     vocabulary: str = WORD_BPE
     white_space: str = "dropped"
@@ -35,6 +35,7 @@ class TokenStoreSpec:
     encoding: str = "dictionary"
     group_tokens: int = 1 << 21
     page_bytes: int = 128 << 10
+    batch_docs: int = 64
     partitions: int | None = None
 
 
@@ -82,7 +83,7 @@ def write_tokens(docs: DataFrame, out: str | None = None, spec: TokenStoreSpec =
         known = encoder(path, spec.white_space)
         uri = f"{out}/part-{part:06d}-{uuid.uuid4().hex}.parquet"
         writer, held, held_tokens, n_docs, n_tokens = None, [], 0, 0, 0
-        for batch in slices(batches):
+        for batch in slices(batches, spec.batch_docs):
             if writer is None:
                 writer = open_writer(uri, FILE_SCHEMA, "ids", spec.encoding, spec.page_bytes)
             ids = [x + end for x in known.encode([t or "" for t in batch.column(1).to_pylist()])]
