@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import io
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's modules to the workers, once an application."""
+    """Send the package's modules to the workers, once an application, by way of the cluster's shared folder if it names one."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     top = pathlib.Path(__file__).resolve().parent
-    target = pathlib.Path(tempfile.mkdtemp(prefix="corpusloom-")) / f"{top.name}-core.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(target))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
+    uri = f"{folder.rstrip('/')}/modules-{uuid.uuid4().hex}/{top.name}-core.zip"
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(uri)
     _shipped.add(app)
