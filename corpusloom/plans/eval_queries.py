@@ -149,7 +149,7 @@ def scorecard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 METRICS = [("faithfulness", 0.95), ("hallucination_rate", 0.05), ("ce1_grounded_rate", 0.95), ("ce3_fabricated_cite_rate", 0.0), ("judge_kappa", None)]
 
 
-@QUERIES.add(f"select name, metric, value, threshold, case when value is null then 'SKIP' when (direction = 'min' and value >= threshold) or (direction = 'max' and value <= threshold) then 'PASS' else 'FAIL' end as status from {sql_values(E.GATES, 'name, metric, direction, threshold').replace('fixture', 'g')} left join {sql_values(METRICS, 'm, value').replace('fixture', 'f')} on metric = m")
+@QUERIES.add(f"select name, metric, cast(value as double) as value, cast(threshold as double) as threshold, case when value is null then 'SKIP' when (direction = 'min' and value >= threshold) or (direction = 'max' and value <= threshold) then 'PASS' else 'FAIL' end as status from {sql_values(E.GATES, 'name, metric, direction, threshold').replace('fixture', 'g')} left join {sql_values(METRICS, 'm, value').replace('fixture', 'f')} on metric = m")
 def gate_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.scorecard(values(spark, METRICS, "metric string, value double"))
     return found.withColumns({c: F.col(c).cast("double") for c in ("value", "threshold")})

@@ -129,7 +129,7 @@ TRIPLES = [(1, 0, "A", "carries", "B", 0.9), (1, 1, "a", "carries", "b", 0.95),
 @QUERIES.add(f"""
 select chunk, pos, subject, relation, object, confidence from (
   select *, row_number() over (partition by chunk, lower(subject), relation, lower(object) order by pos) as rn from (
-    select chunk, pos, subject, object, greatest(0, least(1, coalesce(c, 0.8))) as confidence, coalesce({_sql_map(O.VERB_TO_RELATION)}[verb], case when verb = 'is' then null else upper(replace(verb, ' ', '_')) end) as relation from {sql_values(TRIPLES, 'chunk, pos, subject, verb, object, c')})
+    select chunk, pos, subject, object, cast(greatest(0, least(1, coalesce(c, 0.8))) as double) as confidence, coalesce({_sql_map(O.VERB_TO_RELATION)}[verb], case when verb = 'is' then null else upper(replace(verb, ' ', '_')) end) as relation from {sql_values(TRIPLES, 'chunk, pos, subject, verb, object, c')})
   where subject <> '' and object <> '' and lower(subject) <> lower(object) and relation is not null) where rn = 1 and confidence >= 0.6 and relation <> 'RELATED_TO'
 """)
 def triple_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
