@@ -30,7 +30,7 @@ class Rule:
 
     @property
     def name(self) -> str:
-        return self.host + self.path.lstrip("/") if self.path == "/" else self.host + self.path
+        return self.host + self.path
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ does the session get a temporary folder of its own.
 
 from __future__ import annotations
 
+import io
 import pathlib
 import tempfile
 import uuid
@@ -56,11 +57,16 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     top = pathlib.Path(__file__).resolve().parent.parent
-    target = pathlib.Path(tempfile.mkdtemp(prefix="corpusloom-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(target))
+    uri = f"{fresh_dir(spark, 'modules')}/{top.name}-llm.zip"
+    fs, path = file_system(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(uri)
     _shipped.add(app)
 
 
