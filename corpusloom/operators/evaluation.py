@@ -112,6 +112,21 @@ def confusion(rows: DataFrame) -> DataFrame:
     })
 
 
+def judge_score(answer: Column) -> Column:
+    """First number in a judge's answer, clamped to [0, 1]; null without one."""
+    number = F.regexp_extract(F.coalesce(answer, F.lit("")), r"[0-9]+(?:\.[0-9]+)?", 0)
+    return F.when(number != "", F.greatest(F.lit(0.0), F.least(F.lit(1.0), number.cast("double"))))
+
+
+def render_markdown(results: DataFrame, violations: list[str]) -> str:
+    """The gate as a Markdown table and its verdict: GO only if every gate passed and no stratum is below its floor."""
+    rows = sorted(results.collect(), key=lambda r: [g[0] for g in GATES].index(r["name"]))  # 14 rows
+    go = all(r["status"] == "PASS" for r in rows) and not violations
+    lines = [f"# Gate: {'GO' if go else 'NO-GO'}", "", "| gate | value | threshold | status |", "|-|-|-|-|"]
+    lines += [f"| {r['name']} | {'-' if r['value'] is None else format(r['value'], '.3f')} | {r['threshold']:g} | {r['status']} |" for r in rows]
+    return "\n".join(lines + (["", "Below the floor: " + ", ".join(sorted(violations))] if violations else [])) + "\n"
+
+
 def scorecard(metrics: DataFrame) -> DataFrame:
     """(name, metric, value, threshold, status) of every gate from metrics(metric, value); a missing value is skipped."""
     gates = metrics.sparkSession.createDataFrame(GATES, "name string, metric string, direction string, threshold double")

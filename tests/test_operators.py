@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ontology as O, text as X
-from corpusloom.operators import chunking, evaluation, graph, guard, incremental, retrieval, similarity
+from corpusloom.operators import chunking, embedding, evaluation, graph, guard, incremental, retrieval, similarity
 from corpusloom.streaming import streams
 
 
@@ -147,3 +147,31 @@ def test_replayed_batches_add_nothing(spark, tmp_path):
         stream = spark.readStream.schema("k string, n int").parquet(src)
         streams.anti_join_batches(stream, known, "k", str(tmp_path / f"check{run}")).awaitTermination()
     assert spark.read.parquet(known).count() == 2
+
+
+def test_embedding_falls_back(spark):
+    def model(texts):
+        if "bad" in texts:
+            raise ValueError
+        return embedding.hashing_model(8)(texts)
+
+    rows = spark.createDataFrame([(1, "a b"), (2, "bad"), (3, "a b"), (4, None)], "id int, t string").coalesce(1)
+    found = {r["id"]: r["embedding"] for r in embedding.embed(rows, "id", "t", model).collect()}
+    assert found[1] == found[3] and found[2] is None and found[4] == [0.0] * 8
+    vectors = embedding.embed(rows, "id", "t", model)
+    embedding.check_dimension(vectors, "embedding", 8)
+    with pytest.raises(ValueError):
+        embedding.check_dimension(vectors, "embedding", 9)
+
+
+def test_gate_report(spark):
+    green = spark.createDataFrame([(g[1], g[3]) for g in evaluation.GATES], "metric string, value double")
+    assert evaluation.render_markdown(evaluation.scorecard(green), []).startswith("# Gate: GO")
+    assert "NO-GO" in evaluation.render_markdown(evaluation.scorecard(green), ["single"])
+    assert "NO-GO" in evaluation.render_markdown(evaluation.scorecard(green.filter("metric <> 'judge_kappa'")), [])
+
+
+def test_judge_score(spark):
+    cases = {"Score: 0.85 of 1": 0.85, "7": 1.0, "none": None, "": None}
+    for text, value in cases.items():
+        assert one(spark, evaluation.judge_score(F.col("t")), t=text) == value
