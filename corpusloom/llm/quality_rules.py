@@ -55,7 +55,7 @@ class RuleSpec:
     vocabulary: str = PIECE_BPE
     least_tokens: int = 64
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
-    max_entries: int = 200_000
+    max_entries: int = 100_000
 
 
 SYMBOLS = frozenset("#*$%&|<>")

@@ -64,7 +64,7 @@ class Encoder:
     take its whole course.  max_entries bounds what is remembered.
     """
 
-    def __init__(self, path: str, white_space: str, max_entries: int = 600_000):
+    def __init__(self, path: str, white_space: str, max_entries: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
