@@ -119,3 +119,25 @@ def svo(rows: DataFrame, key: str, text: str) -> DataFrame:
     groups = [F.regexp_extract_all(text, F.lit(SVO), i).alias(n) for i, n in ((1, "s"), (2, "v"), (3, "o"))]
     zipped = rows.select(key, F.explode(F.arrays_zip(*groups)).alias("t"))
     return zipped.select(key, F.trim("t.s").alias("subject"), O.canonical_relation(F.col("t.v")).alias("relation"), F.trim("t.o").alias("object"), F.lit(0.4).alias("confidence")).filter("relation is not null")
+
+
+def leader_clusters(items: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(id, leader) by greedy leaders in the order of ids, from pairs(a, b) with a < b of items alike enough and of one type.
+
+    An item joins the least leader that it is paired with, or leads itself; it
+    is settled once no earlier, still open item could come before that leader.
+    Every round is two joins on ids and one combined aggregation, cut by a
+    checkpoint; rounds are as many as the longest chain of open items.
+    """
+    from corpusloom.session import cut
+
+    state = cut(items.select("id", F.lit(None).cast(dict(items.dtypes)["id"]).alias("leader")).distinct())
+    for _ in range(max_rounds):
+        if state.filter("leader is null").isEmpty():
+            return state
+        seen = pairs.join(state.select(F.col("id").alias("a"), F.col("leader").alias("of")), "a")
+        facts = seen.groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("of") == F.col("a"), F.col("a"))).alias("first"), F.min(F.when(F.col("of").isNull(), F.col("a"))).alias("open"))
+        joined = state.join(facts, "id", "left")
+        settled = F.when(F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("open") > F.col("first"))), F.col("first")).when(F.col("first").isNull() & F.col("open").isNull(), F.col("id"))
+        state = cut(joined.select("id", F.coalesce("leader", settled).alias("leader")))
+    raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,3 +22,11 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
     if master:
         builder = builder.master(master)
     return builder.config(map=settings).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the folder of spark.checkpoint.dir and drop its lineage; a temporary folder serves only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
+    return df.checkpoint(eager=True)

@@ -175,3 +175,17 @@ def test_judge_score(spark):
     cases = {"Score: 0.85 of 1": 0.85, "7": 1.0, "none": None, "": None}
     for text, value in cases.items():
         assert one(spark, evaluation.judge_score(F.col("t")), t=text) == value
+
+
+def test_leader_clusters_are_greedy(spark):
+    import random
+
+    rnd = random.Random(4)
+    pairs = sorted({(a, b) for a, b in ((rnd.randrange(40), rnd.randrange(40)) for _ in range(60)) if a < b})
+    leaders, want = [], {}
+    for i in range(40):
+        want[i] = next((x for x in leaders if (x, i) in pairs), i)
+        if want[i] == i:
+            leaders.append(i)
+    found = graph.leader_clusters(spark.range(40), spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["id"]: r["leader"] for r in found} == want
