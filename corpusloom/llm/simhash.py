@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataF
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(distinct.select("fp"), spec))
     by_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
+    # cut, so that the join below has plain exchanges on both sides and a hot group's rows can be split
+    least = cut(by_root.groupBy("root").agg(F.min("least").alias("component_id")))
     labels = by_root.join(least, "root").select("fp", "root", "component_id")
     return prints.join(labels, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
