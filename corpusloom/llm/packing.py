@@ -116,6 +116,7 @@ def write_pieces(docs: DataFrame, out: str, spec: PackSpec) -> DataFrame:
                 arrays = [pa.array(c, f.type) for c, f in zip(columns[:-1], PIECES, strict=False)]
                 writer.write_batch(pa.RecordBatch.from_arrays([*arrays, list_array(list(columns[-1]))], schema=PIECES))
                 lengths += np.bincount(columns[3], minlength=capacity + 1)
+        known.forget()
         if writer is not None:
             writer.close()
             some = np.flatnonzero(lengths)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from corpusloom.llm.vocab import PIECE_BPE, vocabulary_path
+from corpusloom.llm.vocab import PIECE_BPE, trim, vocabulary_path
 from corpusloom.llm.workspace import arrow_map, slices
 
 
@@ -63,7 +63,7 @@ _SCRIPTS = [(name, regex.compile(rf"\p{{{name}}}")) for name in ("Latin", "Cyril
 
 
 def script_of(text: str) -> str:
-    """The script of most of the first letters that have one of the listed scripts, else default."""
+    """The listed script that most letters have, if it has half of them or more; else default."""
     counts = [(len(p.findall(text)), name) for name, p in _SCRIPTS]
     most = max(counts)
     return most[1] if 2 * most[0] >= sum(c.isalpha() for c in text) and most[0] else "default"
@@ -111,6 +111,11 @@ class Fertility:
         kind = np.uint16 if len(self.fallback) <= 1 << 16 else np.uint32
         return [np.frombuffer(b"".join([known[w] for w in words]), kind) for words in texts]
 
+    def forget(self) -> None:
+        """Give back what was learnt, so that idle workers hold the vocabulary alone."""
+        self.known = {}
+        trim()
+
     def measures(self, ids: np.ndarray, chars: int) -> tuple[float, float, float]:
         """Characters per token, fallback share, entropy as a share of log2(tokens), of 9 bits at most; zeros for no tokens, entropy 1 for one."""
         n = len(ids)
@@ -165,7 +170,7 @@ def judge(docs: DataFrame, spec: RuleSpec = RuleSpec(), only_kept: bool = False)
                 measured = model.measures(ids, chars)
                 kept = not failed
                 if kept and len(ids) >= spec.least_tokens:
-                    band = spec.bands.get(lang) or spec.bands.get(script_of(joined[:2000].decode(errors="ignore"))) or spec.bands["default"]
+                    band = spec.bands.get(lang) or spec.bands.get(script_of(joined.decode())) or spec.bands["default"]
                     kept = not band_failed(band, *measured)
                 rows.append((n, chars, symbols, len(lines) - len(set(lines)), repeats, len(ids), *measured, failed, kept))
             columns = [pa.array(c, kind) for c, (_, _, kind) in zip(zip(*rows, strict=True), ADDED, strict=True)]
@@ -174,5 +179,7 @@ def judge(docs: DataFrame, spec: RuleSpec = RuleSpec(), only_kept: bool = False)
             else:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *[x for x, _, _ in ADDED]])
 
+        model.forget()
+
     schema = docs.schema if only_kept else T.StructType([*docs.schema.fields, *[T.StructField(x, kind) for x, kind, _ in ADDED]])
     return arrow_map(docs, run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))

@@ -7,6 +7,7 @@ piece are kept as little-endian bytes; a text's ids are a join of those.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -18,7 +19,7 @@ PIECE_BPE = "piece_bpe_32k.model"
 
 #: Letters that no normalisation but lower-casing changes, then ASCII punctuation; perhaps a line break and the same again.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-/:-@\\[-`{-~]*)(?:\\n([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*))?")
-_AMBIGUOUS = re.compile(r"^ | \s")
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
 
@@ -32,8 +33,13 @@ def _visible_bytes() -> dict[int, str]:
 _VISIBLE = _visible_bytes()
 
 
+#: The same for whole characters that stand in plain pieces.
+_VISIBLE_PLAIN = {c: "".join(_VISIBLE[b] for b in chr(c).encode()) for c in [0x0A, 0x20, *range(0xC0, 0x100)]}
+
+
 def _visible(text: str) -> str:
-    return text if text.isascii() and text.isprintable() and " " not in text else text.encode().decode("latin-1").translate(_VISIBLE)
+    """A plain piece in the byte-level alphabet."""
+    return text.translate(_VISIBLE_PLAIN)
 
 
 def vocabulary_path(name: str) -> str:
@@ -64,7 +70,7 @@ class Encoder:
     take its whole course.  max_entries bounds what is remembered.
     """
 
-    def __init__(self, path: str, white_space: str, max_entries: int = 150_000):
+    def __init__(self, path: str, white_space: str, max_entries: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -117,7 +123,7 @@ class Encoder:
     def _encode_one(self, text: str) -> bytes:
         if self.dropped:
             return b"".join(map(self.known.__getitem__, text.encode().split()))
-        if _AMBIGUOUS.search(text):
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or _RARE_SPACE.search(text):
             return b"".join(map(self.whole.__getitem__, _BEFORE_WORD.split(text)))
         first, *rest = text.split(" ")
         return self.whole[first] + b"".join(map(self.known.__getitem__, rest))
@@ -130,6 +136,21 @@ class Encoder:
         return [self._encode_one(x) for x in texts]
 
 
+    def forget(self) -> None:
+        """Give back what was learnt, so that idle workers hold the vocabulary alone."""
+        for held in (self.known, self.whole):
+            held.clear()
+        trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
