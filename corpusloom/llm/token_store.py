@@ -63,7 +63,7 @@ def write_tokens(docs: DataFrame, out: str | None = None, spec: TokenStoreSpec =
 
     manifest: (part, path, n_docs, n_tokens), one row a file, part in id order.
     Null and empty texts are one end id.  Rows of a null doc_id come first;
-    equal ids stand next to each other, ordered by text.  A missing lang or
+    equal ids stand next to each other, ordered by a hash of the text.  A missing lang or
     source is written as null; other columns are not stored.  No rows, no files.
     """
     spark = docs.sparkSession
@@ -74,7 +74,8 @@ def write_tokens(docs: DataFrame, out: str | None = None, spec: TokenStoreSpec =
     wanted = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *[(F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")]
     )
-    ordered = wanted.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash lets rows of one id (or none) spread over several ranges
+    ordered = wanted.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -93,6 +94,7 @@ def write_tokens(docs: DataFrame, out: str | None = None, spec: TokenStoreSpec =
             if held_tokens >= spec.group_tokens:
                 writer.write_table(pa.Table.from_batches(held), row_group_size=n_docs)
                 held, held_tokens = [], 0
+        known.forget()
         if writer is not None:
             if held:
                 writer.write_table(pa.Table.from_batches(held), row_group_size=n_docs)

@@ -118,5 +118,11 @@ def base32_sha1(payload):
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def spark_hash(text):
+    """xxhash64() of a string column; null is the seed."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42) if text is not None else 42
+    return h - (1 << 64) if h >> 63 else h
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())

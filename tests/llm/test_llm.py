@@ -329,7 +329,7 @@ def test_token_store(spark, odd, empty, encoding):
     mine = Encoder(vocabulary_path(WORD_BPE), "dropped")
     manifest = write_tokens(odd[0], spec=TokenStoreSpec(encoding=encoding, group_tokens=50, batch_docs=2))
     found = read_tokens(spark, manifest, digests=True).collect()
-    ordered = sorted(odd[1], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    ordered = sorted(odd[1], key=lambda r: (r[0] is not None, r[0] or 0, brute.spark_hash(r[1])))
     at, want = 0, []
     for i, t in ordered:
         ids = [*mine.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
