@@ -41,6 +41,7 @@ class PackSpec:
     vocabulary: str = BYTE_BPE
     white_space: str = "joined"
     end_id: int = 0
+    max_entries: int = 200_000
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -99,7 +100,7 @@ def write_pieces(docs: DataFrame, out: str, spec: PackSpec) -> DataFrame:
     path, end, capacity = vocabulary_path(spec.vocabulary), int(spec.end_id).to_bytes(4, "little"), spec.capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path, spec.white_space)
+        known = encoder(path, spec.white_space, spec.max_entries)
         uri = f"{out}/part-{uuid.uuid4().hex}.parquet"
         writer, lengths = None, np.zeros(capacity + 1, np.int64)
         for batch in slices(batches):

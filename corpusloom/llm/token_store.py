@@ -27,7 +27,7 @@ from corpusloom.llm.workspace import arrow_map, cut, file_system, fresh_dir, sli
 
 @dataclass(frozen=True)
 class TokenStoreSpec:
-    """end_id closes each document; encoding "dictionary" or "delta"; a row group closes at group_tokens, looked at after every batch_docs documents."""
+    """end_id closes each document; encoding "dictionary" or "delta"; a row group closes at group_tokens, looked at after every batch_docs documents; max_entries: pieces that a task remembers."""
 
     vocabulary: str = WORD_BPE
     white_space: str = "dropped"
@@ -36,6 +36,7 @@ class TokenStoreSpec:
     group_tokens: int = 1 << 21
     page_bytes: int = 128 << 10
     batch_docs: int = 64
+    max_entries: int = 600_000
     partitions: int | None = None
 
 
@@ -81,7 +82,7 @@ def write_tokens(docs: DataFrame, out: str | None = None, spec: TokenStoreSpec =
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        known = encoder(path, spec.white_space)
+        known = encoder(path, spec.white_space, spec.max_entries)
         uri = f"{out}/part-{part:06d}-{uuid.uuid4().hex}.parquet"
         writer, held, held_tokens, n_docs, n_tokens = None, [], 0, 0, 0
         for batch in slices(batches, spec.batch_docs):

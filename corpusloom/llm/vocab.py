@@ -8,11 +8,14 @@ piece are kept as little-endian bytes; a text's ids are a join of those.
 from __future__ import annotations
 
 import ctypes
+import itertools
 import os
 import re
 
 import numpy as np
 
+#: Pieces that a worker keeps from task to task.
+KEPT = 50_000
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -60,6 +63,13 @@ class _Known(dict):
         return found
 
 
+    def shrink(self, keep: int) -> None:
+        """Keep what was learnt first: common pieces are met early."""
+        first = list(itertools.islice(self.items(), keep))
+        self.clear()
+        self.update(first)
+
+
 class Encoder:
     """Ids of texts under one tokenizers file.
 
@@ -132,14 +142,14 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         for held in (self.known, self.whole, self.marks):
             if len(held) > self.max_entries:
-                held.clear()
+                held.shrink(KEPT)
         return [self._encode_one(x) for x in texts]
 
 
     def forget(self) -> None:
-        """Give back what was learnt, so that idle workers hold the vocabulary alone."""
+        """Give back most of what was learnt, so that idle workers hold little more than the vocabulary."""
         for held in (self.known, self.whole):
-            held.clear()
+            held.shrink(KEPT)
         trim()
 
 
@@ -154,8 +164,8 @@ def trim() -> None:
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, white_space: str) -> Encoder:
+def encoder(path: str, white_space: str, max_entries: int) -> Encoder:
     """One a worker process; a worker serves many tasks."""
     if (path, white_space) not in _encoders:
-        _encoders[path, white_space] = Encoder(path, white_space)
+        _encoders[path, white_space] = Encoder(path, white_space, max_entries)
     return _encoders[path, white_space]
