@@ -1,7 +1,8 @@
 """License signatures over lower-cased words with one space between them.
 
-One rule a line: label | priority | keyword | pattern.  A pattern is only tried
-where its keyword stands; priority 3 is a full grant or an identifier, 2 a named
+One rule a line: label | priority | keywords | pattern.  A pattern is only tried
+where one of its keywords (split by "|") stands as a whole word, so each of its
+matches must hold one; priority 3 is a full grant or an identifier, 2 a named
 license, 1 a weak hint.  SPDX identifiers give two more rules each.
 """
 
@@ -16,6 +17,12 @@ class LicenseRule:
     priority: int
     keyword: str
     pattern: str
+    #: Further keywords: every match of the pattern holds `keyword` or one of these.
+    more: tuple[str, ...] = ()
+
+    @property
+    def keywords(self) -> tuple[str, ...]:
+        return (self.keyword, *self.more)
 
 
 WRITTEN = r"""
@@ -37,10 +44,10 @@ isc | 2 | isc | (?:the )?isc licen[cs]e
 bsd-3-clause | 3 | bsd | (?:licensed|released|distributed) under (?:the )?(?:3 clause|new|modified|revised) bsd licen[cs]e
 bsd-3-clause | 2 | bsd | (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?
 bsd-3-clause | 3 | endorse | neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products derived from this software
-bsd-2-clause | 2 | bsd | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?
+bsd-2-clause | 2 | bsd|freebsd | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?
 bsd-4-clause | 2 | bsd | (?:bsd 4 clause|4 clause bsd|original bsd|old bsd)(?: licen[cs]e)?
 bsd-4-clause | 3 | advertising | all advertising materials mentioning features or use of this software must display the following acknowledgement
-bsd-0-clause | 2 | bsd | (?:zero clause bsd|bsd zero clause|0bsd|bsd 0 clause)(?: licen[cs]e)?
+bsd-0-clause | 2 | bsd|0bsd | (?:zero clause bsd|bsd zero clause|0bsd|bsd 0 clause)(?: licen[cs]e)?
 bsd | 1 | bsd | bsd (?:style )?licen[cs]e
 bsd | 2 | redistribution | redistribution and use in source and binary forms with or without modification are permitted
 gpl-3.0 | 3 | gnu | licensed under (?:the )?(?:terms of the )?gnu general public license (?:version |v)3(?: 0)?
@@ -99,7 +106,7 @@ libpng | 2 | libpng | libpng licen[cs]e
 unlicense | 3 | unencumbered | this is free and unencumbered software released into the public domain
 unlicense | 2 | unlicense | (?:the )?unlicense
 wtfpl | 2 | wtfpl | wtfpl
-beerware | 2 | beer | beer ?ware licen[cs]e
+beerware | 2 | beer|beerware | beer ?ware licen[cs]e
 python-2.0 | 2 | python | python (?:software foundation )?license(?: (?:version |v)?2(?: 0)?)?
 postgresql | 2 | postgresql | postgresql licen[cs]e
 openssl | 2 | openssl | openssl licen[cs]e
@@ -108,7 +115,7 @@ ruby | 2 | ruby | ruby licen[cs]e
 vim | 2 | vim | vim licen[cs]e
 curl | 2 | curl | curl licen[cs]e
 x11 | 2 | x11 | x11 licen[cs]e
-ncsa | 2 | illinois | (?:university of illinois|ncsa) (?:ncsa )?open source licen[cs]e
+ncsa | 2 | illinois|ncsa | (?:university of illinois|ncsa) (?:ncsa )?open source licen[cs]e
 ms-pl | 2 | microsoft | microsoft public licen[cs]e
 ms-rl | 2 | microsoft | microsoft reciprocal licen[cs]e
 ofl-1.1 | 2 | sil | sil open font license(?: (?:version |v)?1 1)?
@@ -117,7 +124,7 @@ upl-1.0 | 2 | universal | universal permissive license(?: (?:version |v)?1(?: 0)
 afl-3.0 | 2 | academic | academic free license(?: (?:version |v)?3(?: 0)?)?
 osl-3.0 | 2 | open | open software license(?: (?:version |v)?3(?: 0)?)?
 cecill | 2 | cecill | cecill(?: (?:a|b|c|free software license))?
-qpl-1.0 | 2 | qpl | q public licen[cs]e
+qpl-1.0 | 2 | q | q public licen[cs]e
 ipl-1.0 | 2 | ibm | ibm public licen[cs]e
 apsl-2.0 | 2 | apple | apple public source license(?: 2(?: 0)?)?
 w3c | 2 | w3c | w3c (?:software )?(?:notice and )?licen[cs]e
@@ -175,10 +182,10 @@ proprietary | 2 | proprietary | proprietary licen[cs]e
 proprietary | 2 | unauthorized | unauthorized (?:copying|reproduction|distribution|use)(?: of this (?:file|work|document|software))?.{0,60}? is (?:strictly )?prohibited
 reserved-copyright | 2 | reserved | copyright (?:c )?(?:\d{4} )?.{0,60}?all rights reserved
 reserved-some | 1 | reserved | some rights reserved
-no-redistribution | 2 | redistribute | (?:may|must|do) not (?:be )?(?:copied|copy|redistributed?|reproduced?)(?: or (?:redistribute|republish)(?:ed)?)?
-no-commercial | 1 | commercial | (?:for )?non ?commercial use only
+no-redistribution | 2 | redistribute|redistributed|copied|copy|reproduce|reproduced | (?:may|must|do) not (?:be )?(?:copied|copy|redistributed?|reproduced?)(?: or (?:redistribute|republish)(?:ed)?)?
+no-commercial | 1 | commercial|noncommercial | (?:for )?non ?commercial use only
 no-commercial | 2 | commercial | not for commercial use
-no-training | 2 | training | (?:may|must|do) not (?:be )?used? (?:for|to) (?:train|training)(?: .{0,40}?models?)?
+no-training | 2 | train|training | (?:may|must|do) not (?:be )?used? (?:for|to) (?:train|training)(?: .{0,40}?models?)?
 personal-use | 1 | personal | (?:for )?personal use only
 educational-use | 1 | educational | (?:for )?educational (?:use|purposes) only
 research-use | 1 | research | (?:for )?research (?:use|purposes) only
@@ -189,7 +196,7 @@ warranty-disclaimer | 1 | warranty | (?:is )?provided as is without warranty of
 warranty-disclaimer | 1 | warranty | without any warranty without even the implied warranty of merchantability
 see-license | 1 | license | see (?:the )?license(?: (?:file|txt|md))? for (?:more )?details
 dual-licensed | 1 | dual | dual licen[cs]ed(?: under)?
-license-granted | 1 | license | licen[cs]e is (?:hereby )?granted
+license-granted | 1 | license|licence | licen[cs]e is (?:hereby )?granted
 with-permission | 1 | permission | (?:used|reprinted|reproduced) (?:with|by) permission
 copyleft | 1 | copyleft | copyleft
 """
@@ -209,8 +216,9 @@ def license_rules() -> list[LicenseRule]:
     """Written rules, then for each identifier its tag and its use after "licensed under"."""
     rules = []
     for line in WRITTEN.strip().splitlines():
-        label, priority, keyword, pattern = (x.strip() for x in line.split(" | ", 3))
-        rules.append(LicenseRule(label, int(priority), keyword, pattern))
+        label, priority, keywords, pattern = (x.strip() for x in line.split(" | ", 3))
+        keyword, *more = keywords.split("|")
+        rules.append(LicenseRule(label, int(priority), keyword, pattern, tuple(more)))
     for name in SPDX.split():
         words = name.lower().replace("-", " ").replace(".", " ")
         label = name.lower()

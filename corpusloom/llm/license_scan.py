@@ -2,7 +2,7 @@
 
 A text is lower-cased and reduced to its words.  A few anchor words let most
 texts pass untouched; the others are tested for the rules' keywords, and a
-rule's pattern is tried only where its keyword stands.  Matches are marked in
+rule's pattern is tried only where one of its keywords stands.  Matches are marked in
 the text, so their word ranges are read off in one pass over the words however
 many there are.  Detections of a text are then resolved in an ordered window: one that
 lies inside another of the same or a higher priority falls away.
@@ -38,23 +38,27 @@ def _base_places(phrase: str) -> str:
     return f"if(contains(padded, ' {phrase} '), {_starts(marked, 'start')}, cast(array() as array<int>))"
 
 
+def _stands(keyword: str) -> str:
+    return f"contains(padded, ' {keyword} ')"
+
+
 def _groups(rules: list[LicenseRule]) -> str:
-    """Literal array of (keyword, rules that it gates)."""
-    by: dict[str, list[str]] = {}
+    """Literal array of (keywords, rules that any of them opens)."""
+    by: dict[tuple[str, ...], list[str]] = {}
     for r in rules:
-        by.setdefault(r.keyword, []).append(f"struct({_quote(r.label)} as label, {r.priority} as priority, {_quote('(?<= )(?:' + r.pattern + ')(?= )')} as pattern)")
-    return "array(" + ", ".join(f"struct(' {k} ' as keyword, array({', '.join(v)}) as rules)" for k, v in sorted(by.items())) + ")"
+        by.setdefault(r.keywords, []).append(f"struct({_quote(r.label)} as label, {r.priority} as priority, {_quote('(?<= )(?:' + r.pattern + ')(?= )')} as pattern)")
+    return "array(" + ", ".join(f"struct({' or '.join(_stands(k) for k in ks)} as open, array({', '.join(v)}) as rules)" for ks, v in sorted(by.items())) + ")"
 
 
 def _anchors(rules: list[LicenseRule]) -> str:
     """True where a keyword stands: one alternation of all of them."""
-    words = sorted({r.keyword for r in rules})
+    words = sorted({k for r in rules for k in r.keywords})
     return f"padded rlike ' (?:{'|'.join(words)}) '"
 
 
 def _detections(rules: list[LicenseRule]) -> str:
-    """array<struct<start, stop, priority, label>> of all rules whose keyword stands in `padded`."""
-    open_rules = f"flatten(transform(filter({_groups(rules)}, g -> contains(padded, g.keyword)), g -> g.rules))"
+    """array<struct<start, stop, priority, label>> of all rules of which a keyword stands in `padded`."""
+    open_rules = f"flatten(transform(filter({_groups(rules)}, g -> g.open), g -> g.rules))"
     marked = "regexp_replace(padded, r.pattern, '\\u0002$0\\u0003')"
     tried = f"filter(transform({open_rules}, r -> struct(r.label as label, r.priority as priority, {marked} as marked)), r -> r.marked <> padded)"
     spans = f"transform(arrays_zip({_starts('r.marked', 'start')}, {_starts('r.marked', 'end')}), z -> struct(z['0'] as start, z['1'] + 1 as stop, r.priority as priority, r.label as label))"
