@@ -219,3 +219,14 @@ def near_dup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = met.select("a", "b", F.round(S.dot(F.col("q"), F.col("v")), 6).alias("similarity")).filter("similarity >= 0.2")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+@QUERIES.add("""
+with recursive e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+links as materialized (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id where round(list_cosine_similarity(a.v, b.v), 6) >= 0.2),
+reach as (select vec_id, vec_id as member from e union select r.vec_id, l.b from reach r join links l on l.a = r.member)
+select vec_id, min(member) as class_id, (select count(*) from links where a = vec_id) as n_links from reach group by vec_id
+""")
+def near_dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors against all of their label, one row a vector; near_dup_vectors lists the links of every 20th alone."""
+    return S.near_classes(table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v")), 0.2)
