@@ -190,6 +190,17 @@ def parent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn").join(parent, "conv_id")
 
 
+@QUERIES.add("""
+select conv_id, turn, parent_sha256, parent_chars, siblings from conversations join (
+  select conv_id, sha256(coalesce(string_agg(turn || ':' || text, chr(10) order by turn, text), '')) as parent_sha256, coalesce(length(string_agg(turn || ':' || text, chr(10) order by turn, text)), 0) as parent_chars, count(*) as siblings
+  from conversations group by conv_id) using (conv_id)
+""")
+def parent_expand_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts of a turn's siblings, built once a conversation and returned as hash and length; parent_expand joins their first 20 characters."""
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn").join(R.parents(t), "conv_id")
+
+
 @QUERIES.add("select doc_id, source, lang from documents where source = 'src3' and lang = 'en'")
 def meta_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("source = 'src3' and lang = 'en'").select("doc_id", "source", "lang")
