@@ -62,7 +62,6 @@ class _Known(dict):
         found = self[piece] = self.learn(piece)
         return found
 
-
     def shrink(self, keep: int) -> None:
         """Keep what was learnt first: common pieces are met early."""
         first = list(itertools.islice(self.items(), keep))
@@ -78,6 +77,10 @@ class Encoder:
     cut before a space that a word follows.  Plain pieces (letters, then marks)
     go straight to the tokenizer's BPE model, pre-token by pre-token; all others
     take its whole course.  max_entries bounds what is remembered.
+
+    The strings of special tokens in a text are those tokens, as the library has
+    it when it adds none itself; what stands between them is encoded as texts of
+    its own, which is how the library takes them out too.
     """
 
     def __init__(self, path: str, white_space: str, max_entries: int = 200_000):
@@ -85,9 +88,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.bpe = self.tokenizer.model.tokenize
         self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.special = {t.content: k.to_bytes(4, "little") for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.dropped = white_space == "dropped"
         self.max_entries = max_entries
         self.marks = _Known(self._direct)
@@ -131,6 +135,12 @@ class Encoder:
         return found
 
     def _encode_one(self, text: str) -> bytes:
+        if any(x in text for x in self.special):
+            return b"".join([self.special.get(x) or self._encode_plain(x) for x in self.at_special.split(text)])
+        return self._encode_plain(text)
+
+    def _encode_plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         if self.dropped:
             return b"".join(map(self.known.__getitem__, text.encode().split()))
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or _RARE_SPACE.search(text):
@@ -145,7 +155,6 @@ class Encoder:
                 held.shrink(KEPT)
         return [self._encode_one(x) for x in texts]
 
-
     def forget(self) -> None:
         """Give back most of what was learnt, so that idle workers hold little more than the vocabulary."""
         for held in (self.known, self.whole):

@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 sys.path.insert(0, str(pathlib.Path(__file__).parent))
 import brute  # noqa: E402
@@ -318,21 +319,23 @@ def test_full_cuckoo_filter_says_so():
 def test_encoder_gives_the_librarys_ids(name, space):
     mine = Encoder(vocabulary_path(name), space, max_entries=50)
     rnd = random.Random(2)
-    parts = ["a", "B", "é", " ", "  ", "\n", "\t", "\x1c", "\u00a0", "\u0301", "1", "'s", ".", "<|endoftext|>", "Σ", "日", "\r\n", "erth", "the.", "--", "\x85"]
+    parts = ["a", "B", "é", " ", "  ", "\n", "\t", "\x1c", "\u00a0", "\u0301", "1", "'s", ".", "<|endoftext|>", "<|startoftext|>", "Σ", "日", "\r\n", "erth", "the.", "--", "\x85"]
     texts = [t or "" for t in odd_texts(7)] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(3000)]
-    want = [x.ids for x in mine.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts += ["x<|endoftext|>y", "<|endoftext|>", "a  <|startoftext|> b\n<|endoftext|><|endoftext|>  ", "<|ENDOFTEXT|> <|endoftext|", "the <|startoftext|>the"]
+    plain = Tokenizer.from_file(vocabulary_path(name))
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == want
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_store(spark, odd, empty, encoding):
-    mine = Encoder(vocabulary_path(WORD_BPE), "dropped")
+    plain = Tokenizer.from_file(vocabulary_path(WORD_BPE))
     manifest = write_tokens(odd[0], spec=TokenStoreSpec(encoding=encoding, group_tokens=50, batch_docs=2))
     found = read_tokens(spark, manifest, digests=True).collect()
     ordered = sorted(odd[1], key=lambda r: (r[0] is not None, r[0] or 0, brute.spark_hash(r[1])))
     at, want = 0, []
     for i, t in ordered:
-        ids = [*mine.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
         want.append((i, at, len(ids), brute.crc(ids), tuple(ids)))
         at += len(ids)
     assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], tuple(r["ids"])) for r in found), key=lambda x: x[1]) == want
@@ -346,10 +349,10 @@ def test_token_store(spark, odd, empty, encoding):
 
 
 def check_packing(found, rows, capacity):
-    mine = Encoder(vocabulary_path(BYTE_BPE), "joined")
+    plain = Tokenizer.from_file(vocabulary_path(BYTE_BPE))
     want = collections.Counter()
     for i, t in rows:
-        ids = [*mine.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
         for k, (a, n) in enumerate(cuts(len(ids), capacity)):
             want[i, k, a, n, brute.crc(ids[a : a + n])] += 1
     assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
