@@ -23,7 +23,7 @@ from corpusloom.llm.cuckoo import CuckooFilter, split_keys  # noqa: E402
 from corpusloom.llm.decontaminate import WinnowSpec, contamination  # noqa: E402
 from corpusloom.llm.license_rules import license_rules  # noqa: E402
 from corpusloom.llm.line_dedup import LineIndex, LineSpec, dedup_lines  # noqa: E402
-from corpusloom.llm.packing import PackSpec, best_fit, cuts, pack_documents  # noqa: E402
+from corpusloom.llm.packing import PackSpec, cuts, match_brackets, meetings, pack_documents, place  # noqa: E402
 from corpusloom.llm.quality_classifier import ClassifierSpec, classify  # noqa: E402
 from corpusloom.llm.quality_rules import judge  # noqa: E402
 from corpusloom.llm.simhash import SimHashSpec, near_duplicates  # noqa: E402
@@ -381,24 +381,60 @@ def test_packing(spark, odd, empty):
     assert pack_documents(empty).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 30), max_size=80))
-def test_best_fit_is_serial_best_fit(lengths):
-    plan, opened = best_fit(collections.Counter(lengths), 30)
-    gaps = []
+def serial_best_fit(lengths, capacity):
+    """Number of sequences of serial best-fit decreasing."""
+    held = [0] * (capacity + 1)  # sequences by gap
     for n in sorted(lengths, reverse=True):
-        fitting = [g for g in gaps if g >= n]
-        if fitting:
-            gaps.remove(min(fitting))
-        gaps.append((min(fitting) if fitting else 30) - n)
-    assert opened == len(gaps)
-    used = collections.Counter()
-    for n, given_ in plan.items():
-        ends = [g[0] for g in given_[1:]] + [lengths.count(n)]
-        for (rank, each, first, offset), end in zip(given_, ends, strict=True):
-            for r in range(rank, end):
-                used[first + (r - rank) // each] += n
-    assert max(used.values(), default=0) <= 30 and sum(used.values()) == sum(lengths)
+        gap = next((g for g in range(n, capacity + 1) if held[g]), None)
+        if gap is not None:
+            held[gap] -= 1
+        held[(capacity if gap is None else gap) - n] += 1
+    return sum(held)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.booleans(), max_size=60), st.integers(1, 5))
+def test_sweeps_match_as_one_stack(opens, parts):
+    """Ranges swept apart, then met by ordinals, pair the same brackets as one stack."""
+    stack, want, lone = [], {}, []
+    for k, x in enumerate(opens):
+        if x:
+            stack.append(k)
+        elif stack:
+            want[k] = stack.pop()
+        else:
+            lone.append(k)
+    got, left, closing, opening = {}, {}, {}, {}
+    cut = [len(opens) * p // parts for p in range(parts + 1)]
+    for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+        first, second, alone, free = match_brackets(np.array(opens[a:b], bool))
+        got |= {int(y) + a: int(x) + a for x, y in zip(first, second, strict=True)}
+        closing[p], opening[p] = (alone + a).tolist(), (free + a).tolist()
+        left[p] = (len(alone), len(free))
+    rest = {}
+    pairs, n_lone = meetings(left)
+    for part, low, high, of, base in pairs:
+        for k in range(low, high):
+            if of is None:
+                rest[base + k - low] = closing[part][k]
+            else:
+                got[closing[part][k]] = opening[of][base - (k - low)]
+    assert got == want and [rest[k] for k in range(n_lone)] == lone
+
+
+@pytest.mark.parametrize("kind", ["mixed", "short", "equal", "thirds"])
+def test_rounds_pack_as_tightly_as_serial_best_fit(spark, kind):
+    rnd = np.random.default_rng(4)
+    lengths = {"mixed": np.minimum(2048, rnd.geometric(1 / 700, 3000)), "short": rnd.integers(1, 60, 3000), "equal": np.full(500, 700), "thirds": rnd.integers(600, 760, 1500)}[kind]
+    pieces = spark.createDataFrame([(k, int(n)) for k, n in enumerate(lengths)], "pid long, length long")
+    found = place(pieces, PackSpec(ranges=5)).join(pieces, "pid").collect()
+    ends = collections.defaultdict(int)
+    for r in sorted(found, key=lambda r: (r["sequence"], r["offset"])):
+        assert r["offset"] == ends[r["sequence"]]
+        ends[r["sequence"]] += r["length"]
+    assert len(found) == len(lengths) and max(ends.values()) <= 2048
+    best = serial_best_fit(lengths.tolist(), 2048)
+    assert best - 1 <= len(ends) <= best * 1.01 + 1
 
 
 # 10. Decontamination
