@@ -33,9 +33,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from corpusloom.llm.token_store import list_array, open_writer
+from corpusloom.llm.token_store import list_array, open_writer, task_a_file
 from corpusloom.llm.vocab import BYTE_BPE, encoder, vocabulary_path
 from corpusloom.llm.workspace import arrow_map, cut, file_system, fresh_dir, slices
 
@@ -211,13 +211,18 @@ def settle(taken: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
     return cut(rows.select("sequence", "pid", (F.lit(capacity) - whole + before).alias("offset"), (whole - F.sum("length").over(own)).alias("gap")))
 
 
-def place(pieces: DataFrame, spec: PackSpec) -> DataFrame:
-    """(pid, sequence, offset) of every piece of pieces(pid, length): best fit in rounds."""
+def place(pieces: DataFrame, spec: PackSpec, out: str | None = None) -> DataFrame:
+    """(pid, sequence, offset) of every piece of pieces(pid, length): best fit in rounds.
+
+    The pieces are first written by class, so that a round reads its own alone.
+    """
     spark, capacity = pieces.sparkSession, spec.capacity
     ranges = spec.ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = [capacity, *[capacity // d for d in DIVISORS], 0]
     number = sum((F.col("length") <= b).cast("int") for b in bounds[1:-1]) if len(bounds) > 2 else F.lit(0)
-    sized = pieces.filter("pid is not null").select("pid", "length", number.alias("class"))
+    classes = f"{out or fresh_dir(spark, 'classes')}/classes"
+    pieces.filter("pid is not null").select("pid", "length", number.alias("class")).write.partitionBy("class").parquet(classes)
+    sized = spark.read.schema("pid long, length long, class int").parquet(classes)
     counts = {r["class"]: r["count"] for r in sized.groupBy("class").count().collect()}  # one row a class
     # More than half of the capacity: each opens a sequence, named by its piece.
     placed = [sized.filter("class = 0").select("pid", F.col("pid").alias("sequence"), F.lit(0).cast("long").alias("offset"))]
@@ -233,7 +238,7 @@ def place(pieces: DataFrame, spec: PackSpec) -> DataFrame:
         n_items = n_new + n_carried
         items = sized.filter(F.col("class") == k).select("pid", "length") if n_new else carried
         if n_new and n_carried:
-            items = items.unionByName(carried)
+            items = items.unionByName(carried).coalesce(ranges)
         swept = sweep(items, gaps, low, high, ranges)
         left: dict[int, list[int]] = {}
         for r in swept.filter("ordinal is not null").groupBy("part", "kind").count().collect():  # two rows a range
@@ -267,14 +272,14 @@ def place(pieces: DataFrame, spec: PackSpec) -> DataFrame:
             usable = usable.unionByName(spark.range(news).select((-1 - (opened - news) - F.col("id")).alias("sequence"), F.lit(capacity).cast("long").alias("gap")))
         done = settle(taken, usable, capacity)
         placed.append(done.filter("pid is not null").select("pid", "sequence", "offset"))
-        gaps = gaps.filter(F.col("gap") <= low).unionByName(done.filter("pid is null and gap > 0").select("sequence", "gap"))
+        gaps = gaps.filter(F.col("gap") <= low).unionByName(done.filter("pid is null and gap > 0").select("sequence", "gap")).coalesce(ranges)
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
     return out
 
 
-def read_ids(spark: SparkSession, files: DataFrame) -> DataFrame:
+def read_ids(files: DataFrame) -> DataFrame:
     """(pid, ids) of the stored pieces of files(path); a file is one task's, and no two files share a pid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +289,7 @@ def read_ids(spark: SparkSession, files: DataFrame) -> DataFrame:
                 with fs.open_input_file(name) as source:
                     yield from pq.ParquetFile(source).iter_batches(1024)
 
-    n = max(1, files.count())
-    return arrow_map(files.repartition(n, "path"), run, "pid long, ids array<int>")
+    return arrow_map(task_a_file(files), run, "pid long, ids array<int>")
 
 
 def pack_documents(docs: DataFrame, spec: PackSpec = PackSpec(), with_ids: bool = True, out: str | None = None) -> DataFrame:
@@ -297,9 +301,10 @@ def pack_documents(docs: DataFrame, spec: PackSpec = PackSpec(), with_ids: bool
     Without ids only the small columns are read back.
     """
     spark = docs.sparkSession
-    written = write_pieces(docs, out or fresh_dir(spark, "pieces"), spec)
-    found = written.filter("pid is not null").drop("path").join(place(written, spec), "pid")
+    out = out or fresh_dir(spark, "pieces")
+    written = write_pieces(docs, out, spec)
+    found = written.filter("pid is not null").drop("path").join(place(written, spec, out), "pid")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), "offset"]
     if not with_ids:
         return found.select(*columns)
-    return found.join(read_ids(spark, written.filter("path is not null").select("path")), "pid").select(*columns, "ids")
+    return found.join(read_ids(written.filter("path is not null").select("path")), "pid").select(*columns, "ids")
