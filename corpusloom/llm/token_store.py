@@ -3,9 +3,11 @@
 Documents are range-sorted by id, encoded and written by the task that holds
 them: one file a range, the ids as a list column under dictionary or delta
 encoding, the metadata beside it, row groups closed at a token budget, and a
-page index over all columns.  A reader can so take the metadata without the
-ids, or a few documents' ids without the rest.  The manifest (one row a file)
-is materialised when the files are complete; the files of a lost or repeated
+page index over all columns.  A reader takes the metadata without the ids, or
+some documents without the rest: files are passed over by the manifest's id
+ranges and row groups by their statistics.  Any Parquet reader that knows page
+indexes can also skip pages.  The manifest (one row a file, a DataFrame) is
+materialised when the files are complete; the files of a lost or repeated
 attempt have other names and are never listed.
 """
 
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.llm.vocab import WORD_BPE, encoder, vocabulary_path
 from corpusloom.llm.workspace import arrow_map, cut, file_system, fresh_dir, slices
@@ -40,7 +42,7 @@ class TokenStoreSpec:
     partitions: int | None = None
 
 
-FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 def open_writer(uri: str, schema: pa.Schema, lists: str, encoding: str, page_bytes: int) -> pq.ParquetWriter:
@@ -62,7 +64,8 @@ def list_array(parts: list[bytes]) -> pa.Array:
 def write_tokens(docs: DataFrame, out: str | None = None, spec: TokenStoreSpec = TokenStoreSpec()) -> DataFrame:
     """Encode docs(doc_id, text, lang, source, ...) in ascending doc_id order; returns the manifest.
 
-    manifest: (part, path, n_docs, n_tokens), one row a file, part in id order.
+    manifest: (part, path, n_docs, n_tokens, least_id, most_id), one row a file, part in id order.
+    A file's `before` column counts the ids that stand before a document in it.
     Null and empty texts are one end id.  Rows of a null doc_id come first;
     equal ids stand next to each other, ordered by a hash of the text.  A missing lang or
     source is written as null; other columns are not stored.  No rows, no files.
@@ -84,13 +87,17 @@ def write_tokens(docs: DataFrame, out: str | None = None, spec: TokenStoreSpec =
         part = TaskContext.get().partitionId()
         known = encoder(path, spec.white_space, spec.max_entries)
         uri = f"{out}/part-{part:06d}-{uuid.uuid4().hex}.parquet"
-        writer, held, held_tokens, n_docs, n_tokens = None, [], 0, 0, 0
+        writer, held, held_tokens, n_docs, n_tokens, least, most = None, [], 0, 0, 0, None, None
         for batch in slices(batches, spec.batch_docs):
             if writer is None:
                 writer = open_writer(uri, FILE_SCHEMA, "ids", spec.encoding, spec.page_bytes)
             ids = [x + end for x in known.encode([t or "" for t in batch.column(1).to_pylist()])]
             lengths = [len(x) // 4 for x in ids]
-            held.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(lengths, pa.int64()), list_array(ids)], schema=FILE_SCHEMA))
+            before = n_tokens + np.cumsum([0, *lengths[:-1]])
+            held.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(before, pa.int64()), pa.array(lengths, pa.int64()), list_array(ids)], schema=FILE_SCHEMA))
+            known_ids = batch.column(0).drop_null()
+            if len(known_ids):
+                least, most = known_ids[0].as_py() if least is None else least, known_ids[-1].as_py()
             n_docs, n_tokens, held_tokens = n_docs + len(ids), n_tokens + sum(lengths), held_tokens + sum(lengths)
             if held_tokens >= spec.group_tokens:
                 writer.write_table(pa.Table.from_batches(held), row_group_size=n_docs)
@@ -100,46 +107,74 @@ def write_tokens(docs: DataFrame, out: str | None = None, spec: TokenStoreSpec =
             if held:
                 writer.write_table(pa.Table.from_batches(held), row_group_size=n_docs)
             writer.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [uri], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [uri], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64()), "least_id": pa.array([least], pa.int64()), "most_id": pa.array([most], pa.int64())})
 
-    return cut(arrow_map(ordered, run, "part int, path string, n_docs long, n_tokens long"))
+    return cut(arrow_map(ordered, run, "part int, path string, n_docs long, n_tokens long, least_id long, most_id long"))
 
 
-def one_task_each(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """A frame of len(rows) partitions with one index in each; rows itself travels in the reader's closure."""
-    return spark.range(0, len(rows), 1, max(1, len(rows)))
+def task_a_file(manifest: DataFrame) -> DataFrame:
+    """The rows of a manifest dealt out over as many tasks, whatever their size; none of them reaches the driver."""
+    return manifest.repartition(max(1, manifest.count()), "path")
 
 
-def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = True, digests: bool = False) -> DataFrame:
+def read_tokens(
+    spark: SparkSession, manifest: DataFrame, with_ids: bool = True, digests: bool = False, ids: list[int] | None = None, low: int | None = None, high: int | None = None
+) -> DataFrame:
     """(doc_id, lang, source, start, n_tokens[, ids][, ids_crc32]) from the files of a manifest.
 
-    start counts the ids of all documents before, over files in id order.  The
-    manifest's few rows (one a file) are the only thing that the driver sees;
-    without ids and digests only the metadata columns are read.
+    start counts the ids of all documents before, over files in id order.
+    Without ids and digests only the metadata columns are read.  ids (a list that
+    every task gets) or low and high (both included) select documents: other
+    files aren't opened, other row groups not read; a null doc_id is never selected.
     """
-    files = [r.asDict() for r in manifest.orderBy("part").collect()]
-    base = 0
-    for f in files:
-        f["base"], base = base, base + f["n_tokens"]
-    columns = ["doc_id", "lang", "source", "n_tokens"] + ["ids"] * (with_ids or digests)
+    base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("path", base.alias("base"), "least_id", "most_id")
+    picked = np.unique(np.array(ids, np.int64)) if ids is not None else None
+    selective = picked is not None or low is not None or high is not None
+    if picked is not None:
+        low = max(low if low is not None else -(1 << 63), int(picked[0]) if len(picked) else 1)
+        high = min(high if high is not None else (1 << 63) - 1, int(picked[-1]) if len(picked) else 0)
+    if low is not None:
+        files = files.filter(F.col("most_id") >= low)
+    if high is not None:
+        files = files.filter(F.col("least_id") <= high)
+    columns = ["doc_id", "lang", "source", "before", "n_tokens"] + ["ids"] * (with_ids or digests)
     schema = "doc_id long, lang string, source string, start long, n_tokens long" + ", ids array<int>" * with_ids + ", ids_crc32 long" * digests
 
+    def wanted(doc_id: np.ndarray) -> np.ndarray:
+        ok = np.isin(doc_id, picked) if picked is not None else np.ones(len(doc_id), bool)
+        if low is not None:
+            ok &= doc_id >= low
+        return ok & (doc_id <= high) if high is not None else ok
+
+    def groups(file: pq.ParquetFile) -> list[int]:
+        """Row groups that can hold a selected document, by their statistics."""
+        out = []
+        for k in range(file.num_row_groups):
+            found = file.metadata.row_group(k).column(0).statistics
+            if found is None or not found.has_min_max:
+                continue  # only null ids
+            if (low is None or found.max >= low) and (high is None or found.min <= high) and (picked is None or np.searchsorted(picked, found.min) < np.searchsorted(picked, found.max, side="right")):
+                out.append(k)
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                fs, path = file_system(files[k]["path"])
-                at = files[k]["base"]
-                with fs.open_input_file(path) as source:
-                    for part in pq.ParquetFile(source).iter_batches(512, columns=columns):
-                        n = part.column("n_tokens").to_numpy()
-                        starts = at + np.cumsum(n) - n
-                        at += int(n.sum())
+            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, name = file_system(path)
+                with fs.open_input_file(name) as source:
+                    file = pq.ParquetFile(source)
+                    for part in file.iter_batches(512, columns=columns, row_groups=groups(file) if selective else None):
+                        if selective:
+                            known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                            part = part.filter(pa.array(known & wanted(part.column("doc_id").fill_null(0).to_numpy())))
+                        starts = part.column("before").to_numpy() + base
                         arrays = [part.column("doc_id"), part.column("lang"), part.column("source"), pa.array(starts, pa.int64()), part.column("n_tokens")]
                         names = ["doc_id", "lang", "source", "start", "n_tokens"]
                         if with_ids or digests:
                             ids = part.column("ids")
                             flat, ends = ids.flatten().to_numpy().astype("<u4"), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
-                            if int(ends[-1]) != int(n.sum()):
+                            if (np.diff(ends) != part.column("n_tokens").to_numpy()).any():
                                 raise ValueError(f"{path}: ids and lengths differ")
                         if with_ids:
                             arrays, names = [*arrays, ids], [*names, "ids"]
@@ -148,6 +183,4 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = True,
                             arrays, names = [*arrays, pa.array(crc, pa.int64())], [*names, "ids_crc32"]
                         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    if not files:
-        return spark.createDataFrame([], schema)
-    return arrow_map(one_task_each(spark, files), run, schema)
+    return arrow_map(task_a_file(files.select("path", "base")), run, schema)

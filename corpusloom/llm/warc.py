@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm.token_store import one_task_each
+from corpusloom.llm.token_store import task_a_file
 from corpusloom.llm.workspace import arrow_map, cut, file_system, fresh_dir, slices
 
 SKIPPABLE = 0x184D2A5D
@@ -242,7 +242,6 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
     A revisit's bytes and digest are those of the full payload; its own payload
     is empty.  The number of records must be the manifest's.
     """
-    files = [(r["path"], r["n_records"]) for r in manifest.orderBy("path").collect()]
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -252,8 +251,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                (path, expected), n, rows = files[k], 0, []
+            for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, rows = 0, []
                 fs, name = file_system(path)
                 with fs.open_input_file(name) as source:
                     try:
@@ -270,6 +269,4 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
                 if rows:
                     yield batch_of(rows)
 
-    if not files:
-        return spark.createDataFrame([], schema)
-    return arrow_map(one_task_each(spark, files), run, schema)
+    return arrow_map(task_a_file(manifest.select("path", "n_records")), run, schema)
