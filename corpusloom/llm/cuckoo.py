@@ -1,4 +1,4 @@
-"""A cuckoo filter over 128-bit keys: bulk look-ups in numpy, inserts and deletes one by one."""
+"""A cuckoo filter over 128-bit keys: look-ups and first places in bulk with numpy, moves and deletes one by one."""
 
 from __future__ import annotations
 
@@ -38,10 +38,31 @@ class CuckooFilter:
         n = len(hi)
         while True:
             made = cls.sized_for(n)
-            if all(made.insert(int(a), int(b)) for a, b in zip(hi, lo, strict=True)):
+            if made.insert_many(hi, lo):
                 return made
             n = len(made.table) * SLOTS
 
+    def _fill(self, at: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Put marks into free slots of their buckets, as many as go in; returns which did."""
+        order = np.argsort(at, kind="stable")
+        own = at[order]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
+        free = self.table[own] == 0
+        fits = rank < free.sum(axis=1)
+        nth = free & (np.cumsum(free, axis=1) == rank[:, None] + 1)
+        done = np.zeros(len(at), bool)
+        done[order[fits]] = True
+        self.table[own[fits], nth.argmax(axis=1)[fits]] = mark[order[fits]]
+        return done
+
+    def insert_many(self, hi: np.ndarray, lo: np.ndarray) -> bool:
+        """All keys: into their first or second bucket where a slot is free, the others one by one; False when one finds none."""
+        mark, a, b = self._places(hi, lo)
+        left = np.flatnonzero(~self._fill(a, mark))
+        left = left[~self._fill(b[left], mark[left])]
+        return all(self.insert(int(hi[k]), int(lo[k])) for k in left)
+
     @classmethod
     def loads(cls, data: bytes) -> "CuckooFilter":
         return cls(np.frombuffer(data, np.uint16).reshape(-1, SLOTS).copy())

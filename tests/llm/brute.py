@@ -61,17 +61,17 @@ def rule_statistics(text):
 
 
 def line_dedup(docs):
-    """docs [(doc_id, text)] -> [(doc_id, new text, lines, dropped)]."""
+    """docs [(doc_id, text)] -> [(doc_id, new text, lines, dropped)]; documents are told apart by id, rows without one count for none."""
     key = lambda line: line.strip(SPACE).translate(LOWER)
-    holders = collections.defaultdict(list)
+    holders = collections.defaultdict(set)
     for i, text in docs:
         for k in {key(line) for line in (text or "").split("\n")}:
-            if len(k) >= 20:
-                holders[k].append(i)
+            if len(k) >= 20 and i is not None:
+                holders[k].add(i)
     out = []
     for i, text in docs:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not (len(holders.get(key(x), ())) >= 3 and max((h for h in holders[key(x)] if h is not None), default=None) != i)]
+        kept = [x for x in lines if not (len(holders.get(key(x), ())) >= 3 and max(holders[key(x)]) != i)]
         out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
 
