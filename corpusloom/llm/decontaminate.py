@@ -9,6 +9,12 @@ is extended word by word to both sides; spans that reach 13 words are hits.
 An item of fewer than 13 words counts as a whole.  It is met through the hash of
 its first words (up to five), without winnowing, and compared in full.
 
+A meeting carries the few words around it that an extension can reach, never the
+document.  A k-gram that stands in over ``common`` places of the benchmark is not
+joined by itself, as every document that holds it would meet all those places:
+there the windows of 13 words around it (or, of items that count as a whole, the
+whole items) are joined by their hash, so that only true hits come out.
+
 Benchmarks are small beside corpora.  Up to ``in_row`` distinct fingerprints
 they are tested where a document is read (first membership, then whether the
 k-gram is a winnowed one), so only documents that meet a benchmark carry their
@@ -20,14 +26,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.words import spaced_words, word_array
+from corpusloom.llm.workspace import cut
 
 
 @dataclass(frozen=True)
 class WinnowSpec:
-    """span: words of a window; gram: words of a k-gram; in_row: fingerprints tested in place; broadcast_rows: benchmark rows sent to all tasks.
+    """span: words of a window; gram: words of a k-gram; in_row: fingerprints tested in place; broadcast_rows: benchmark rows sent to all tasks; common: places of a k-gram beyond which its windows are joined.
 
     A document is contaminated if it has a hit and hits are at least 1/share of its words.
     """
@@ -37,6 +44,7 @@ class WinnowSpec:
     share: int = 20
     in_row: int = 20_000
     broadcast_rows: int = 200_000
+    common: int = 64
 
     @property
     def window(self) -> int:
@@ -66,7 +74,7 @@ def _winnowed(words: str, at: str, spec: WinnowSpec) -> str:
 
 
 def benchmark_prints(benchmark: DataFrame, spec: WinnowSpec = WinnowSpec()) -> DataFrame:
-    """(n, hash, item_id, at, words, whole): where each fingerprint stands in which item.
+    """(n, hash, item_id, at, words, whole): where each fingerprint stands, among the words around it that an extension can reach.
 
     whole marks items of fewer words than a span.  Items without words have none.
     """
@@ -75,8 +83,20 @@ def benchmark_prints(benchmark: DataFrame, spec: WinnowSpec = WinnowSpec()) -> D
         F.lit(spec.gram).alias("n"), "item_id", "words", F.lit(False).alias("whole"), F.explode(F.expr(f"filter({_positions('words', spec.gram)}, i -> {_winnowed('words', 'i', spec)})")).alias("at")
     )
     short = items.filter(F.size("words") < spec.span).select(F.least(F.size("words"), F.lit(spec.gram)).alias("n"), "item_id", "words", F.lit(True).alias("whole"), F.lit(0).alias("at"))
+    near = long.unionByName(short).select("n", "item_id", F.expr(_local("at", spec)).alias("at"), F.expr(_around("words", "at", spec)).alias("words"), "whole").distinct()
     hashes = F.coalesce(*[F.when(F.col("n") == n, F.expr(_hash("words", "at", n))) for n in range(1, spec.gram + 1)])
-    return long.unionByName(short).distinct().withColumn("hash", hashes).select("n", "hash", "item_id", "at", "words", "whole")
+    return near.withColumn("hash", hashes).select("n", "hash", "item_id", "at", "words", "whole")
+
+
+def _around(words: str, at: str, spec: WinnowSpec) -> str:
+    """The words that an extension from a k-gram at this place can reach."""
+    most = spec.span - spec.gram
+    return f"slice({words}, greatest({at} - {most}, 0) + 1, {spec.span + most})"
+
+
+def _local(at: str, spec: WinnowSpec) -> str:
+    """Where the k-gram stands in the words around it."""
+    return f"least({at}, {spec.span - spec.gram})"
 
 
 def _seeds(spec: WinnowSpec, sets: dict[tuple[int, bool], list[int]]) -> str:
@@ -93,15 +113,25 @@ def _seeds(spec: WinnowSpec, sets: dict[tuple[int, bool], list[int]]) -> str:
 
 def _runs(spec: WinnowSpec) -> tuple[str, str]:
     """How many words agree before and after a meeting, as far as a window through it can reach."""
-    most = spec.span - spec.gram
+    most, own = spec.span - spec.gram, _local("doc_at", spec)
 
     def run(step: str, doc_first: str, item_first: str) -> str:
         # equality with get() past an end is null, which ends the run like a difference
-        other = f"coalesce(get(doc_words, {doc_first} {step} j) <> get(words, {item_first} {step} j), true)"
+        other = f"coalesce(get(around, {doc_first} {step} j) <> get(words, {item_first} {step} j), true)"
         return f"coalesce(nullif(array_position(transform(sequence(1, {most}), j -> {other}), true), 0), {most + 1}) - 1"
 
     k = spec.gram - 1
-    return run("-", "doc_at", "at"), run("+", f"doc_at + {k}", f"at + {k}")
+    return run("-", own, "at"), run("+", f"{own} + {k}", f"at + {k}")
+
+
+def _windows(words: str, at: str, sizes: str, base: str, spec: WinnowSpec) -> str:
+    """array<struct<size, start, key>>: the runs of words (of these sizes) that a common k-gram at a place is joined by; starts count from base.
+
+    Of a k-gram of a long item all windows of `span` words through it, of an item that counts as a whole those that begin with it.
+    """
+    shifts = f"if(whole, array(0), sequence(0, least({at}, {spec.span - spec.gram})))"
+    each = f"transform({shifts}, j -> struct(z as size, {at} - j + {base} as start, xxhash64(array_join(slice({words}, {at} - j + 1, z), ' ')) as key, size(slice({words}, {at} - j + 1, z)) = z as full))"
+    return f"filter(flatten(transform({sizes}, z -> {each})), x -> x.full)"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, spec: WinnowSpec = WinnowSpec()) -> DataFrame:
@@ -114,7 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: WinnowSpec = Winn
     An empty benchmark contaminates nothing.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    prints = benchmark_prints(benchmark, spec).persist()
+    prints = cut(benchmark_prints(benchmark, spec))
     n_rows = prints.count()
     small = n_rows <= spec.broadcast_rows
     few = spec.in_row >= 0 and n_rows <= 50 * max(1, spec.in_row) and prints.select("n", "whole", "hash").distinct().count() <= spec.in_row
@@ -140,20 +170,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: WinnowSpec = Winn
         hits = keyed.join(prints.select("n", "hash").distinct(), (F.col("s.n") == F.col("n")) & (F.col("s.hash") == F.col("hash")), "left_semi")
         seeds = hits.groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("seeds")).withColumnsRenamed({"doc_id": "d", "text_key": "t"})
         met = base.join(seeds, base["doc_id"].eqNullSafe(seeds["d"]) & base["text_key"].eqNullSafe(seeds["t"]), "left").drop("d", "t").withColumn("seeds", F.coalesce("seeds", F.expr(nothing)))
-    carried = met.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.when(F.size("seeds") > 0, F.col("words")).alias("doc_words"), F.posexplode_outer("seeds").alias("k", "seed")).select(
-        "doc_id", "text_key", "n_words", "doc_words", "k", F.col("seed.n").alias("n"), F.col("seed.hash").alias("hash"), F.col("seed.at").alias("doc_at")
-    )
-    # `first` marks one row of each fingerprint, so that a document is counted once however many items it meets.
-    order = Window.partitionBy("n", "hash").orderBy("item_id", "at", "whole")
-    numbered = prints.withColumn("first", F.row_number().over(order) == 1)
-    joined = carried.join(F.broadcast(numbered) if small else numbered, ["n", "hash"], "left")
+    near = F.expr(f"transform(seeds, s -> struct(s.n as n, s.hash as hash, s.at as at, {_around('words', 's.at', spec)} as around))")
+    carried = met.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(near).alias("nth", "seed"))
+    carried = carried.select("doc_id", "text_key", "n_words", "nth", F.col("seed.n").alias("n"), F.col("seed.hash").alias("hash"), F.col("seed.at").alias("doc_at"), F.col("seed.around").alias("around"))
+    groups = prints.groupBy("n", "hash", "whole").agg(F.count("*").alias("places"), F.collect_set(F.when(F.col("whole"), F.size("words")).otherwise(F.lit(spec.span))).alias("sizes"))
+    common = cut(groups.filter(F.col("places") > spec.common).select("n", "hash", "whole", "sizes"))
+    any_common = not common.isEmpty()
+    if any_common:
+        carried = cut(carried)
+    sent = F.broadcast if small else lambda x: x
+    rare = prints.join(sent(common), ["n", "hash", "whole"], "left_anti").groupBy("n", "hash").agg(F.collect_list(F.struct("item_id", "at", "words", "whole")).alias("places"))  # `common` of each kind at most
+    parted = carried.join(sent(rare), ["n", "hash"], "left").select("doc_id", "text_key", "n_words", "nth", "doc_at", "around", F.posexplode_outer("places").alias("k", "place")).select("*", "place.item_id", "place.at", "place.words", "place.whole")
     before, after = _runs(spec)
-    ranged = joined.withColumns({"before": F.when(~F.col("whole"), F.expr(before)), "after": F.when(~F.col("whole"), F.expr(after))})
-    hit = F.when(F.col("whole") & (F.slice("doc_words", F.col("doc_at") + 1, F.size("words")) == F.col("words")), F.struct(F.col("doc_at").alias("start"), (F.col("doc_at") + F.size("words")).alias("stop"))).when(
+    span = "struct<start:int,stop:int>"
+    ranged = parted.withColumns({"before": F.when(~F.col("whole"), F.expr(before)), "after": F.when(~F.col("whole"), F.expr(after))})
+    hit = F.when(F.col("whole") & (F.expr(f"slice(around, {_local('doc_at', spec)} + 1, size(words))") == F.col("words")), F.struct(F.col("doc_at").alias("start"), (F.col("doc_at") + F.size("words")).alias("stop"))).when(
         ~F.col("whole") & (F.col("before") + F.col("after") + spec.gram >= spec.span), F.struct((F.col("doc_at") - F.col("before")).alias("start"), (F.col("doc_at") + spec.gram + F.col("after")).alias("stop"))
     )
-    hits = ranged.select("doc_id", "text_key", "n_words", "item_id", hit.cast("struct<start:int,stop:int>").alias("hit"), ((F.coalesce("k", F.lit(0)) == 0) & F.coalesce("first", F.lit(True))).cast("long").alias("row"))
+    # `row` marks one row of each document, however many fingerprints and places it meets
+    row = ((F.coalesce("nth", F.lit(0)) == 0) & (F.coalesce("k", F.lit(0)) == 0)).cast("long")
+    hits = ranged.select("doc_id", "text_key", "n_words", "item_id", hit.cast(span).alias("hit"), row.alias("row"))
+    if any_common:
+        first = f"doc_at - {_local('doc_at', spec)}"
+        mine = carried.filter("n is not null").join(sent(common), ["n", "hash"]).select("doc_id", "text_key", "n_words", "whole", "around", F.expr(first).alias("first"), F.explode(F.expr(_windows("around", _local("doc_at", spec), "sizes", first, spec))).alias("w"))
+        mine = mine.select("doc_id", "text_key", "n_words", "whole", F.col("w.size").alias("size"), F.col("w.key").alias("key"), F.col("w.start").alias("start"), F.expr("slice(around, w.start - first + 1, w.size)").alias("run"))
+        theirs = prints.join(sent(common), ["n", "hash", "whole"], "left_semi").select("item_id", "whole", "words", F.explode(F.expr(_windows("words", "at", f"array(if(whole, size(words), {spec.span}))", "0", spec))).alias("w"))
+        theirs = theirs.select("item_id", "whole", F.col("w.size").alias("size"), F.col("w.key").alias("key"), F.expr("slice(words, w.start + 1, w.size)").alias("held")).distinct()
+        same = mine.join(sent(theirs), ["whole", "size", "key"]).filter(F.col("run") == F.col("held"))
+        hits = hits.unionByName(same.select("doc_id", "text_key", "n_words", "item_id", F.expr(f"cast(struct(start, start + size) as {span})").alias("hit"), F.lit(0).cast("long").alias("row")))
     per_doc = hits.groupBy("doc_id", "text_key", "n_words").agg(F.sum("row").alias("rows"), F.collect_set("hit").alias("spans"), F.collect_set(F.when(F.col("hit").isNotNull(), F.col("item_id"))).alias("items"))
-    n_hit = F.expr("cast(size(array_distinct(flatten(transform(spans, x -> sequence(x.start, x.stop - 1))))) as bigint)")
+    n_hit = F.expr("aggregate(array_sort(spans), struct(cast(0 as bigint) as n, 0 as reach), (a, x) -> struct(a.n + greatest(0, x.stop - greatest(x.start, a.reach)) as n, greatest(a.reach, x.stop) as reach), a -> a.n)")
     out = per_doc.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * spec.share >= F.col("n_words")))
     return out.select("doc_id", "text_key", "n_words", "spans", "items", "n_hit", "contaminated", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy")).drop("copy")
