@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,10 +33,42 @@ def header_sections(docs: DataFrame, text: str) -> DataFrame:
 
 
 SEPARATORS = ["\n\n", "\n", ". ", " "]
+#: What no cut may go through: display and inline formulas, and runs of table rows.
+_FORMULA = re.compile(r"\$\$.*?\$\$|(?<!\$)\$[^$\n]+\$(?!\$)", re.DOTALL)
+_TABLE_ROW = re.compile(r"[ \t]*\|[^\n]*\|[ \t]*")
+_HEADING = re.compile(r"\A(?:\s*#{1,6}[^\n]*\n)+")
+
+
+def whole_spans(text: str) -> list[tuple[int, int]]:
+    """Where formulas and tables stand; a table's rows each begin and end with a bar."""
+    out = [m.span() for m in _FORMULA.finditer(text)]
+    at = 0
+    rows: list[tuple[int, int]] = []
+    for line in text.splitlines(keepends=True):
+        if _TABLE_ROW.fullmatch(line.rstrip("\n")):
+            rows = [(rows[0][0], at + len(line))] if rows else [(at, at + len(line))]
+        elif rows:
+            out, rows = [*out, *rows], []
+        at += len(line)
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted([*out, *rows]):
+        if merged and a < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def split_text(text: str, size: int, overlap: int) -> list[str]:
-    """Pieces of at most `size` characters, cut at the coarsest separator that helps; each but the first repeats up to `overlap` characters."""
+    """Pieces of at most `size` characters, cut at the coarsest separator that helps and never inside a formula or table.
+
+    A formula or table over `size` is a piece of its own.  Each piece but the
+    first repeats the end of the one before, up to `overlap` characters of whole
+    parts, and begins with the text's heading lines if it has any.  A text of at
+    most `size` is one piece; a blank one is none.
+    """
+    if len(text) <= size:
+        return [text] if text.strip() else []
 
     def parts(t: str, level: int) -> list[str]:
         if len(t) <= size:
@@ -43,22 +76,41 @@ def split_text(text: str, size: int, overlap: int) -> list[str]:
         if level == len(SEPARATORS):
             return [t[k : k + size] for k in range(0, len(t), size)]
         sep = SEPARATORS[level]
-        whole = t.split(sep)
-        return [y for k, x in enumerate(whole) for y in parts(x + (sep if k < len(whole) - 1 else ""), level + 1) if y]
-
-    out, held = [], ""
-    for p in parts(text, 0):
-        if held and len(held) + len(p) > size:
-            out.append(held)
-            tail = held[max(0, len(held) - max(0, min(overlap, size - len(p)))) :] if len(p) < size else ""
-            held = tail + p
-        else:
-            held += p
-    return [*out, held] if held.strip() else out
+        cut = t.split(sep)
+        return [y for k, x in enumerate(cut) for y in parts(x + (sep if k < len(cut) - 1 else ""), level + 1) if y]
+
+    def fine(t: str) -> list[str]:
+        """Parts at the coarsest separators, those cut again that are longer than the overlap, so that its end can be repeated."""
+        return [y for x in parts(t, 0) for y in (re.findall(r"(?s).+?(?:\. |\n|$)", x) if len(x) > overlap else [x])]
+
+    atoms, at = [], 0
+    for a, b in [*whole_spans(text), (len(text), len(text))]:
+        if a > at:
+            atoms += fine(text[at:a])
+        if b > a:
+            atoms.append(text[a:b])
+        at = b
+    heading = found[0] if (found := _HEADING.match(text)) else ""
+    pieces: list[list[str]] = [[]]
+    n = 0
+    for x in atoms:
+        if n and n + len(x) > size:
+            tail: list[str] = []
+            room = min(overlap, size - len(x))
+            for y in reversed(pieces[-1]):
+                if sum(map(len, tail)) + len(y) > room:
+                    break
+                tail.insert(0, y)
+            pieces.append(tail)
+            n = sum(map(len, tail))
+        pieces[-1].append(x)
+        n += len(x)
+    made = ["".join(p) for p in pieces]
+    return [p if k == 0 or p.startswith(heading) else heading + p for k, p in enumerate(made) if p.strip()]
 
 
 def recursive_split(docs: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
-    """(doc_id, parent_id, section_part, n_chars, chunk_sha): every document cut by split_text; parent_id from its first 512 characters."""
+    """(doc_id, parent_id, section_part, chunk): every document cut by split_text; parent_id is a hash of its whole text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -66,7 +118,7 @@ def recursive_split(docs: DataFrame, text: str, size: int, overlap: int) -> Data
             yield pd.DataFrame(rows, columns=["doc_id", "parent_id", "section_part", "chunk"])
 
     ship(docs.sparkSession)
-    keyed = docs.select("doc_id", F.substring(F.sha1(F.substring(text, 1, 512)), 1, 16).alias("parent_id"), F.col(text).alias("text"))
+    keyed = docs.select("doc_id", F.substring(F.sha1(F.coalesce(F.col(text), F.lit(""))), 1, 16).alias("parent_id"), F.col(text).alias("text"))
     return keyed.mapInPandas(run, "doc_id long, parent_id string, section_part int, chunk string")
 
 

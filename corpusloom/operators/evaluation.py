@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import patterns as P, text as X
 from corpusloom.shipping import ship
 
+# Fixed value: numbers with their units.
 QUANTITY = r"\b([0-9][0-9,]*(?:\.[0-9]+)?)\b\s*([A-Za-zµ°%][A-Za-zµ°%/0-9^-]*)?"
 
 # The gate (name, metric, direction, threshold).

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.functions import ontology as O
+from corpusloom.functions import ontology as O, text as X
 from corpusloom.shipping import ship
 
 
@@ -73,6 +73,37 @@ def communities(hub_rows: DataFrame, edges: DataFrame, members: int, facts: int)
     return ranked.groupBy(F.col("a").alias("hub")).agg(F.slice(F.array_sort(F.collect_set("b")), 1, members).alias("members"), F.count("*").alias("n_facts"))
 
 
+def seeds(questions: DataFrame, key: str, text: str, edges: DataFrame, most: int) -> DataFrame:
+    """(key, seed, degree, rank): the capitalised words of a question that are nodes, those of few edges first, then as they stand."""
+    said = questions.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("[A-Z][A-Za-z]+"), 0)).alias("at", "node")).groupBy(key, "node").agg(F.min("at").alias("first"))
+    order = Window.partitionBy(key).orderBy("degree", "first", "node")
+    known = said.join(degrees(edges), "node").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return known.select(key, F.col("node").alias("seed"), "degree", "rank")
+
+
+def rerank_paths(found: DataFrame, question: Column, most: int) -> DataFrame:
+    """(seed, path, score, rank): the paths of each seed by the share of their words that a question has, shorter ones first among equals."""
+    words = X.tokens(F.replace("path", F.lit("_"), F.lit(" ")))
+    scored = found.withColumn("words", words).select("seed", "length", "path", F.round(F.size(F.filter("words", lambda w: F.array_contains(question, w))) / F.size("words"), 6).alias("score"))
+    order = Window.partitionBy("seed").orderBy(F.desc("score"), "length", "path")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("seed", "path", "score", "rank")
+
+
+def community_search(questions: DataFrame, key: str, text: str, edges: DataFrame, least: int, members: int, most: int) -> DataFrame:
+    """(key, hub, hits, rank): the hubs (of `least` edges or more) by how many distinct words of a question their names and first members hold.
+
+    Words and questions meet by equality, so a question meets only hubs that hold one of its words.
+    """
+    both = neighbours(edges)
+    hub = degrees(edges).filter(F.col("degree") >= least).select(F.col("node").alias("a"))
+    named = both.join(hub, "a").groupBy(F.col("a").alias("hub")).agg(F.slice(F.array_sort(F.collect_set("b")), 1, members).alias("members"))
+    held = named.select("hub", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "hub", F.array_join("members", " "))), " ", -1))).alias("word"))
+    said = questions.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), 0))).alias("said"))
+    hits = said.withColumn("word", F.lower("said")).join(held, "word").groupBy(key, "hub").agg(F.count("*").alias("hits"))
+    order = Window.partitionBy(key).orderBy(F.desc("hits"), "hub")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
 def mine_quantities(rows: DataFrame, key: str, text: str) -> DataFrame:
     """One row a measurement found in a text."""
     ship(rows.sparkSession)
@@ -111,6 +142,7 @@ def validate_triples(rows: DataFrame, least: float = 0.0) -> DataFrame:
     return kept.filter((F.col("confidence") >= least) & (F.col("relation") != "RELATED_TO"))
 
 
+# Fixed value: simple sentences.
 SVO = r"([A-Z][A-Za-z0-9_ &-]{2,40})\s+(is|are|was|were|has|have|owns|owned|founded|acquired|developed|created|leads|manages|builds)\s+([A-Z][A-Za-z0-9_ &-]{2,40})"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import patterns as P, text as X
 from corpusloom.shipping import ship
 
-CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f​-‏ -‮﻿]"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u200b-\u200f\u2028-\u202e\ufeff]"
 
 
 def normalize(rows: DataFrame, text: str, most: int = 2000) -> DataFrame:
@@ -68,6 +69,48 @@ def input_decision(text: Column) -> Column:
     return F.struct(act.alias("action"), F.when(empty | refused, "").otherwise(cleaned).alias("cleaned"), why.alias("reason"))
 
 
+@dataclass(frozen=True)
+class RequestPolicy:
+    """lockout: strikes that shut a session out; most_chars of a request; attack and scope: similarity limits; required: whether a request is refused where a similarity is missing."""
+
+    lockout: int = 10
+    most_chars: int = 2000
+    attack: float = 0.80
+    scope: float = 0.35
+    required: bool = False
+
+
+def request_decision(rows: DataFrame, text: str, strikes: str, attack: str, scope: str, policy: RequestPolicy = RequestPolicy()) -> DataFrame:
+    """rows with action, cleaned, reason and degraded (checks that could not run), where the first refusal wins.
+
+    In order: lockout, normalised text too short, characters, injection patterns,
+    similarity to known attacks, personal data (redacted), similarity to the
+    domain.  A null similarity means that the check could not run: it refuses
+    where the policy requires it, and else passes with the check named in degraded.
+    """
+    own = "_clean"
+    while own in rows.columns:
+        own = "_" + own
+    found = normalize(rows.withColumn(own, F.col(text)), own, policy.most_chars)
+    clean = F.col(own)
+    category, what = X.injection(clean)
+    no_attack, no_scope = F.col(attack).isNull(), F.col(scope).isNull()
+    rules = [
+        (F.col(strikes) >= policy.lockout, F.lit("abuse_lockout")),
+        (F.char_length(clean) < 2, F.lit("empty_input")),
+        (~X.charset_ok(clean), F.lit("invalid_charset")),
+        (what == "refuse", F.concat(F.lit("injection:"), category)),
+        (no_attack & F.lit(policy.required), F.lit("injection_degraded_fail_closed")),
+        (F.col(attack) >= policy.attack, F.lit("injection:embedding_sim")),
+        (no_scope & F.lit(policy.required), F.lit("scope_degraded_fail_closed")),
+        (F.col(scope) < policy.scope, F.lit("off_topic")),
+    ]
+    reason = F.coalesce(*[F.when(test, why) for test, why in rules], F.lit(""))
+    degraded = F.array_compact(F.array(F.when(no_attack, "injection"), F.when(no_scope, "scope")))
+    judged = found.withColumn("reason", reason).withColumn("degraded", degraded)
+    return judged.withColumn("action", F.when(F.col("reason") == "", "allow").otherwise("refuse")).withColumn("cleaned", F.when(F.col("reason") == "", X.redact(clean)).otherwise("")).drop(own)
+
+
 def output_decision(answer: Column, context: Column, valid: Column) -> Column:
     """struct<action, unsupported, fabricated>: leaks refuse; numbers without support and unknown citations sanitize."""
     unsupported = F.array_except(X.normalized_numbers(answer), X.normalized_numbers(context))

@@ -62,3 +62,11 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add("select event_id, cast(json_extract(props, '$.k') as integer) as k, coalesce(json_extract_string(props, '$.user.name'), json_extract_string(props, '$.k'), 'none') as claim from events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.coalesce(F.get_json_object("props", "$.user.name"), F.get_json_object("props", "$.k"), F.lit("none")).alias("claim"))
+
+
+@QUERIES.add("""
+select client, start, n, greatest(n - 3, 0) as refused from (select substr(sha256(cast(user_id as varchar)), 1, 16) as client, time_bucket(interval '1 hour', ts) as start, count(*) as n from events group by all)
+""")
+def client_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a client in fixed windows, and how many of them the limit of three refuses."""
+    return streams.rate_limited(table(spark, sf_dir, "events"), "user_id", "1 hour", 3)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions import ontology as O
 from corpusloom.operators import graph as G
+from corpusloom.operators.retrieval import bm25, tokenized
 from corpusloom.plans.registry import Catalogue, table
-from corpusloom.plans.text_queries import sql_values, values
+from corpusloom.plans.text_queries import SQL_TOKENS, sql_values, values
 
 QUERIES = Catalogue()
 
@@ -209,6 +210,51 @@ def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"), F.lit(1.0).alias("score"))
 
 
+ENTITY_QUERIES = [(1, "green almond"), (2, "red steel box"), (3, "nothing such here"), (4, "re")]
+
+
+@QUERIES.add(f"""
+with d as (select p_partkey as id, {SQL_TOKENS.replace("text", "p_name")} as tokens from part), q as (select id as query_id, {SQL_TOKENS.replace("text", "t")} as tokens from {sql_values(ENTITY_QUERIES, 'id, t')}),
+terms as (select query_id, term, count(*) as qtf from (select query_id, unnest(tokens) as term from q) group by all),
+p as (select id, dl, term, count(*) as tf from (select id, len(tokens) as dl, unnest(tokens) as term from d) group by all),
+idfs as (select term, ln((select count(*) from d) - count(*) + 0.5) - ln(count(*) + 0.5) as idf0 from p group by term), means as (select avg(idf0) as mean_idf from idfs), size as (select avg(len(tokens)) as avgdl from d),
+bm as (select query_id, id, round(sum(qtf * case when idf0 < 0 then 0.25 * mean_idf else idf0 end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from terms join p using (term) join idfs using (term), means, size group by all)
+select query_id, id as part, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from bm where score > 0) where rank <= 10
+""")
+def entity_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by the words of their names, best score first; entity_search only asks whether a name holds a string."""
+    queries = values(spark, ENTITY_QUERIES, "query_id int, text string")
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    found = bm25(tokenized(queries, "query_id", "query_id"), tokenized(names, "doc_id", "doc_id"), 10)
+    return found.select("query_id", F.col("doc_id").alias("part"), "score", "rank")
+
+
+QUESTIONS = [(1, "What lies in EUROPE or ASIA?"), (2, "FRANCE and GERMANY and FRANCE"), (3, "nothing named"), (4, "Suppliers of AFRICA, AMERICA, ASIA, EUROPE and CHINA")]
+
+
+@QUERIES.add(f"""
+with {EDGES_SQL}, degree as (select node, count(*) as degree from (select src as node from edges union all select dst from edges) group by node),
+said as (select question, unnest(es) as node, generate_subscripts(es, 1) as pos from (select id as question, regexp_extract_all(t, '[A-Z][A-Za-z]+') as es from {sql_values(QUESTIONS, 'id, t')}))
+select question, node as seed, degree, rank from (select question, node, degree, row_number() over (partition by question order by degree, lowest, node) as rank from (select question, node, min(pos) as lowest from said group by all) join degree using (node)) where rank <= 3
+""")
+def seed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names in a question that the graph knows, rare ones first, three at most."""
+    questions = values(spark, QUESTIONS, "question int, t string")
+    return G.seeds(questions, "question", "t", _edges(spark, sf_dir), 3)
+
+
+@QUERIES.add(f"""
+with {EDGES_SQL}, {BOTH_SQL}, hub as (select node, count(*) as n from (select src as node from edges union all select dst from edges) group by node having count(*) >= 3),
+summary as (select node as hub, node || ' ' || array_to_string(list_sort(list(distinct b))[1:50], ' ') as summary from hub join both_ways on a = node group by node)
+select question, hub, hits, rank from (select *, row_number() over (partition by question order by hits desc, hub) as rank from (
+  select id as question, hub, len(list_filter(list_distinct(regexp_extract_all(t, '[A-Za-z]+')), lambda w: list_contains(string_split(lower(summary), ' '), lower(w)))) as hits from {sql_values(QUESTIONS, 'id, t')}, summary) where hits > 0) where rank <= 2
+""")
+def community_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The communities whose members a question names most, two at most."""
+    edges = _edges(spark, sf_dir)
+    return G.community_search(values(spark, QUESTIONS, "question int, t string"), "question", "t", edges, 3, 50, 2)
+
+
 PATHS_SQL = f"""with recursive {EDGES_SQL}, {BOTH_SQL}, walk as (
   select r_name as seed, r_name as node, cast([] as varchar[]) as es, 0 as length from region
   union all select seed, b, list_append(es, edge), length + 1 from walk join both_ways on a = node where length < 3 and not list_contains(es, edge)
@@ -221,6 +267,16 @@ def graph_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.paths(seeds, _edges(spark, sf_dir), 3, 50)
 
 
+@QUERIES.add(f"""{PATHS_SQL}, said as (select seed, path, len(string_split(path, ' | ')) as steps, {SQL_TOKENS.replace("text", "replace(path, '_', ' ')")} as words from ranked where rank <= 50)
+select seed, path, score, rank from (select seed, path, round(hits / len(words), 6) as score, row_number() over (partition by seed order by round(hits / len(words), 6) desc, steps, path) as rank
+  from (select *, len(list_filter(words, lambda w: list_contains(['supplier', 'located', 'asia', 'europe'], w))) as hits from said)) where rank <= 8
+""")
+def path_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best eight paths of a seed by the share of their words that a question has; models' scores can take its place."""
+    question = F.array(*map(F.lit, ("supplier", "located", "asia", "europe")))
+    return G.rerank_paths(graph_khop(spark, sf_dir), question, 8)
+
+
 @QUERIES.add(f"{PATHS_SQL} select seed, edge, min(rank) as first_rank from (select seed, rank, unnest(string_split(path, ' | ')) as edge from ranked where rank <= 50) group by seed, edge")
 def path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = graph_khop(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("length", "path")))

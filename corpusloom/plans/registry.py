@@ -7,6 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.session import spread
+
+#: Tables of long texts, where the work on a row is much more than moving it.
+TEXTS = ("documents", "pages")
+
 
 @dataclass(frozen=True)
 class Query:
@@ -14,8 +19,12 @@ class Query:
     sql: str | None = None
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A table of the data set; columns, if given, are taken before texts are spread over the cores."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if columns:
+        found = found.select(*columns)
+    return spread(found) if name in TEXTS and {"text", "html"} & set(found.columns) else found
 
 
 class Catalogue(dict):

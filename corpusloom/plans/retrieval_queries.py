@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corpusloom.functions import patterns as P, text as X
 from corpusloom.operators import retrieval as R, similarity as S
 from corpusloom.plans.registry import Catalogue, table
+from corpusloom.session import cut
 from corpusloom.plans.text_queries import SQL_TOKENS
 
 QUERIES = Catalogue()
@@ -42,7 +43,7 @@ fused as (select *, row_number() over (partition by query_id order by score desc
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    docs = R.tokenized(table(spark, sf_dir, "documents"), "doc_id", "doc_id")
+    docs = R.tokenized(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "doc_id")
     return R.bm25(R.tokenized(table(spark, sf_dir, "benchmark"), "item_id", "query_id"), docs, k)
 
 
@@ -65,7 +66,7 @@ def _fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 @QUERIES.add(f"with {BM25_SQL} select n as n_docs, round(avgdl, 6) as avgdl, (select count(*) from dfs) as n_terms, round(mean_idf, 6) as mean_idf from size, means")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.corpus_stats(R.tokenized(table(spark, sf_dir, "documents"), "doc_id", "doc_id"))
+    found = R.corpus_stats(cut(R.tokenized(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "doc_id")))
     return found.select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", F.round("mean_idf", 6).alias("mean_idf"))
 
 
@@ -94,6 +95,16 @@ def dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), (F.count_distinct(n) == 1).alias("consistent"), F.max(n).alias("dimension"))
 
 
+@QUERIES.add("""
+with old as (select count(*) as n, sum(n_chars) as c, max(doc_id) as m from documents where doc_id % 10 <> 3), new as (select count(*) as n, sum(n_chars) as c, max(doc_id) as m from documents)
+select 'unchanged' as corpus, false as stale union all select 'grown', old.n <> new.n or old.c <> new.c or old.m <> new.m from old, new
+""")
+def bm25_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a keyword index of an earlier state of the corpus must be built anew, by fingerprints that are sums."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    return R.stale(docs, docs, "unchanged").unionByName(R.stale(docs.filter("doc_id % 10 <> 3"), docs, "grown"))
+
+
 @QUERIES.add(f"with {BM25_SQL}, {VEC_SQL}, {RRF_SQL} select query_id, doc_id, score, relevance, rank from fused where rank <= {POOL}")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir, POOL)
@@ -109,7 +120,7 @@ from fused join {DENSITY_SQL} using (doc_id) where rank <= {POOL} qualify row_nu
 """)
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both channels fused, features of the pool's texts boosted, the best six kept; texts are read for the pool alone."""
-    fused = _fused(spark, sf_dir, POOL)
+    fused = cut(_fused(spark, sf_dir, POOL))
     texts = table(spark, sf_dir, "documents").join(fused.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", X.matches(F.col("text"), P.DISPLAY_MATH).alias("formula"), X.numeric_density(F.col("text")).alias("density"))
     joined = fused.join(texts, "doc_id").withColumn("s", F.round(R.boosted(F.col("score"), F.col("formula"), F.col("density"), F.lit(True)), 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id")
@@ -133,7 +144,7 @@ select query_id, doc_id, relevance, row_number() over (partition by query_id ord
 qualify row_number() over (partition by query_id order by relevance desc, doc_id) <= 6
 """)
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = _fused(spark, sf_dir, POOL).select("query_id", "doc_id")
+    fused = cut(_fused(spark, sf_dir, POOL)).select("query_id", "doc_id")
     e = table(spark, sf_dir, "embeddings")
     q, d = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d"))
     scored = fused.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), S.cosine(F.col("q"), F.col("d")))), 6).alias("relevance"))
@@ -179,6 +190,41 @@ def exact_first_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.exact_first(_exact(spark, sf_dir, 5), ranked)
 
 
+RERANK_SQL = f"""
+rr as (select query_id, doc_id, relevance, row_number() over (partition by query_id order by relevance desc, doc_id) as rank from
+  (select f.query_id, f.doc_id, round(greatest(0, least(1, list_cosine_similarity(a.v, b.v))), 6) as relevance from fused f join e a on a.vec_id = f.query_id join e b on b.vec_id = f.doc_id where f.rank <= {POOL})
+  qualify row_number() over (partition by query_id order by relevance desc, doc_id) <= 6)"""
+
+
+def _neutral_sql(text: str) -> str:
+    for pattern, _, _ in P.INJECTION:
+        text = f"regexp_replace({text}, '(?i){pattern.replace(chr(39), chr(39) * 2)}', '{P.NEUTRALIZED}', 'g')"
+    return text
+
+
+@QUERIES.add(f"""
+with {BM25_SQL}, {VEC_SQL}, {RRF_SQL}, {RERANK_SQL}, x as ({EXACT_SQL}),
+kept as (select query_id, doc_id, 1.0 as relevance, rank, 0 as tier from x where query_id in (select item_id from benchmark)
+  union all select query_id, doc_id, relevance, rank, 1 from rr where not exists (select 1 from x where x.query_id = rr.query_id and x.doc_id = rr.doc_id)),
+ordered as (select query_id, doc_id, relevance, row_number() over (partition by query_id order by tier, rank, doc_id) as place from kept),
+lines as (select query_id, place, relevance, '[Source: ' || source || ' | score=' || printf('%.6f', relevance) || ']' || chr(10) || {_neutral_sql("coalesce(text, '')")} as line from ordered join documents using (doc_id) where place <= 6)
+select query_id, count(*) as passages, max(relevance) as top, max(relevance) >= 0.20 as grounded, sha256(string_agg(line, chr(10) || chr(10) order by place)) as context from lines group by query_id
+""")
+def hybrid_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from query to context: both channels fused, reranked by vectors, exact hits first, six passages neutralised and formatted, and whether they ground an answer."""
+    exact = _exact(spark, sf_dir, 5).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).distinct(), "query_id", "left_semi")
+    ranked = cut(rerank_topk(spark, sf_dir))
+    merged = R.exact_first(exact, ranked).filter("rank <= 6")
+    scored = merged.join(ranked.select("query_id", "doc_id", "relevance"), ["query_id", "doc_id"], "left").withColumn("relevance", F.when(F.col("exact"), 1.0).otherwise(F.col("relevance")))
+    scored = cut(scored.select("query_id", "doc_id", "relevance", "rank"))
+    texts = table(spark, sf_dir, "documents", ["doc_id", "source", "text"]).join(scored.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "source", X.neutralize(F.coalesce("text", F.lit(""))).alias("passage"))
+    line = F.concat(F.format_string("[Source: %s | score=%.6f]\n", F.col("source"), F.col("relevance")), F.col("passage"))  # relevance has six places
+    lines = scored.join(texts, "doc_id").select("query_id", "rank", "relevance", line.alias("line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n")  # six passages a query at most
+    found = lines.groupBy("query_id").agg(F.count("*").alias("passages"), F.max("relevance").alias("top"), F.sha2(joined.cast("binary"), 256).alias("context"))
+    return found.withColumn("grounded", F.col("top") >= 0.20)
+
+
 @QUERIES.add("""
 select c.conv_id, c.turn, string_agg(s.turn || ':' || left(s.text, 20), chr(10) order by s.turn) as parent, count(*) as siblings
 from conversations c join conversations s on s.conv_id = c.conv_id group by c.conv_id, c.turn

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import patterns as P, text as X
+from corpusloom.functions.html import page_texts
 from corpusloom.operators import chunking
 from corpusloom.plans.registry import Catalogue, table
 
@@ -33,6 +34,15 @@ def sql_values(rows: list[tuple], names: str) -> str:
     return "(values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") fixture({names})"
 
 
+def texts_with(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
+    """(id, t): the texts of documents, and the rows of a fixture, which hold what documents don't."""
+    return table(spark, sf_dir, "documents", ["doc_id", "text"]).toDF("id", "t").unionByName(values(spark, rows, "id long, t string"))
+
+
+def sql_texts_with(rows: list[tuple]) -> str:
+    return f"(select doc_id as id, text as t from documents union all select * from {sql_values(rows, 'id, t')}) texts"
+
+
 @QUERIES.add(rf"""
 select doc_id, len({SQL_TOKENS}) as n_tokens,
   regexp_matches(text, '{P.DISPLAY_MATH}') or regexp_matches(text, '{P.INLINE_MATH}') or regexp_matches(text, '{P.LATEX_COMMAND}') as has_formula,
@@ -58,10 +68,10 @@ FORMULA_ROWS = [(1, r"see $\sigma^0 = 4$ and $$x + y$$ or \alpha_1 and T_b = 10^
 
 @QUERIES.add(f"""
 select id, array_to_string(list_filter(fs, lambda x, i: list_position(list_transform(fs, lambda y: lower(regexp_replace(y, '\\s+', '', 'g'))), lower(regexp_replace(x, '\\s+', '', 'g'))) = i), ' | ') as fragments
-from (select id, list_filter(list_transform(regexp_extract_all(t, '{P.FORMULA_FRAGMENT}'), lambda x: trim(trim(x, '$ '))), lambda x: length(regexp_replace(x, '\\s+', '', 'g')) >= 2) as fs from {sql_values(FORMULA_ROWS, 'id, t')})
+from (select id, list_filter(list_transform(regexp_extract_all(t, '{P.FORMULA_FRAGMENT}'), lambda x: trim(trim(x, '$ '))), lambda x: length(regexp_replace(x, '\\s+', '', 'g')) >= 2) as fs from {sql_texts_with(FORMULA_ROWS)})
 """)
 def formula_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, FORMULA_ROWS, "id int, t string").select("id", F.array_join(X.formula_fragments(F.col("t")), " | ").alias("fragments"))
+    return texts_with(spark, sf_dir, FORMULA_ROWS).select("id", F.array_join(X.formula_fragments(F.col("t")), " | ").alias("fragments"))
 
 
 @QUERIES.add(f"select doc_id, reason, reason = 'ok' as passed from ({SQL_QUALITY.replace('{source}', 'documents')})")
@@ -107,6 +117,12 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("body"))
 
 
+@QUERIES.add()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page text by parsing: nesting is followed, containers named as cookie bars, banners and so on go; html_clean keeps to what regexes can say."""
+    return page_texts(table(spark, sf_dir, "pages", ["page_id", "html"])).select("page_id", "body")
+
+
 FILES = [(1, "a/Report.PDF", 100), (2, "b/page.html", 5), (3, "notes.md", 9), (4, "sheet.xlsx", 7), (5, "pic.GIF", 30_000_000), (6, "x.exe", 1), (7, "noext", 2), (8, "pic.png", 2000)]
 FORMAT_ROWS = [tuple(f) for f in P.FORMATS]
 
@@ -145,10 +161,10 @@ MARKDOWN = [(1, "intro\n# One\nbody a\n## Two\nbody b\n### Three\nc\n# Four\nd")
 
 @QUERIES.add(f"""
 select id, cast(i - 1 as integer) as pos, regexp_extract(s, '^(#{{1,3}}) ', 1) as level, regexp_extract(s, '^#{{1,3}} ([^\\n]*)', 1) as header, s as body
-from (select id, unnest(ss) as s, generate_subscripts(ss, 1) as i from (select id, list_filter(string_split(regexp_replace(t, '(^|\\n)(#{{1,3}} )', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x) <> '') as ss from {sql_values(MARKDOWN, 'id, t')}))
+from (select id, unnest(ss) as s, generate_subscripts(ss, 1) as i from (select id, list_filter(string_split(regexp_replace(t, '(^|\\n)(#{{1,3}} )', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x) <> '') as ss from {sql_texts_with(MARKDOWN)}))
 """)
 def header_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.header_sections(values(spark, MARKDOWN, "id int, t string"), "t").select("id", "pos", "level", "header", F.col("section").alias("body"))
+    return chunking.header_sections(texts_with(spark, sf_dir, MARKDOWN), "t").select("id", "pos", "level", "header", F.col("section").alias("body"))
 
 
 @QUERIES.add(f"select doc_id, cast(idx as integer) as idx, text as chunk from {CHUNKS_SQL}")

@@ -24,9 +24,25 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
     return builder.config(map=settings).getOrCreate()
 
 
+def local_dir(spark: SparkSession) -> str:
+    """A temporary folder, for sessions whose executors are in this process; on a cluster they would not see it."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the folder of spark.checkpoint.dir and drop its lineage; a temporary folder serves only where none is set."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or local_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as the session has cores: a file of one row group would be one task's work.
+
+    Inputs of many row groups, as large tables are, stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

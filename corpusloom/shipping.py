@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import io
 import pathlib
-import tempfile
 import uuid
 import zipfile
 
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
+from corpusloom.session import local_dir
+
 _shipped: set[str] = set()
 
 
@@ -24,7 +25,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or local_dir(spark)
     uri = f"{folder.rstrip('/')}/modules-{uuid.uuid4().hex}/{top.name}-core.zip"
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)

@@ -18,6 +18,14 @@ def sliding(events: DataFrame, width: str, slide: str, late: str | None = None)
     return counted.select(F.col("w.start").alias("start"), "user_id", "n")
 
 
+def rate_limited(events: DataFrame, client: str, width: str, limit: int, late: str | None = None) -> DataFrame:
+    """(client, start, n, refused): requests of a client (named by a hash) in fixed windows, and those beyond the limit."""
+    events = events.withWatermark("ts", late) if late else events
+    name = F.substring(F.sha2(F.col(client).cast("string"), 256), 1, 16)
+    counted = events.groupBy(F.window("ts", width).alias("w"), name.alias("client")).agg(F.count("*").alias("n"))
+    return counted.select("client", F.col("w.start").alias("start"), "n", F.greatest(F.col("n") - limit, F.lit(0)).cast("long").alias("refused"))
+
+
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     """Events of a user without a pause of `gap`."""
     events = events.withWatermark("ts", late) if late else events
