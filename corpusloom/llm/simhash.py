@@ -10,20 +10,28 @@ edges.
 
 Hot groups: exact copies collapse to one fingerprint before anything is
 indexed.  Fingerprints under one variant are linked by a search that drops what
-it has reached, so it emits at most one edge a member, never all pairs; a
-variant with over ``split_at`` fingerprints is cut again by the same scheme on
-the remaining bits, over as many tasks as it has sub-variants.
+it has reached, so it emits at most one edge a member, never all pairs.
+Variants that can hold over ``split_at`` fingerprints are known beforehand from
+counts of whole segments, which combine before their shuffle; those are never
+gathered, but cut again by the same scheme on the remaining bits.  What is
+still too large then is searched in pairs of blocks of ``split_at``.
+
+``near_copies`` is for a wider reach, where similarity and not a number of bits
+is asked for: texts are indexed by a fingerprint of word pairs, which differs
+less than one of longer shingles, cut into segments with one wildcard, and
+linked where fingerprints of five-word shingles are as close as those of texts
+with a similarity of 0.8.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.workspace import arrow_map, cut
@@ -34,11 +42,12 @@ SEED = 42
 
 @dataclass(frozen=True)
 class SimHashSpec:
-    """shingle: words a shingle; max_bits: differing bits that still link; split_at: members of a variant before it is cut again."""
+    """shingle: words a shingle; max_bits: differing bits that still link; split_at: members of a variant before it is cut again; broadcast_rows: large segment values that may be sent to every task."""
 
     shingle: int = 4
     max_bits: int = 4
     split_at: int = 50_000
+    broadcast_rows: int = 100_000
 
 
 def segments(bits: list[int], max_bits: int) -> list[list[int]]:
@@ -88,16 +97,6 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _variants(bits: list[int], max_bits: int, fp: Column) -> Column:
-    """array<struct<tag, key>>: the segment with one bit wiped, for each bit; the tag is that bit."""
-    out = []
-    for segment in segments(bits, max_bits):
-        whole = sum(1 << b for b in segment)
-        for b in segment:
-            out.append(F.struct(F.lit(b).cast("tinyint").alias("tag"), fp.bitwiseAND(F.lit(_signed(whole & ~(1 << b)))).alias("key")))
-    return F.array(*out)
-
-
 def _edges_of_group(fps: np.ndarray, tag: int, cuts: list[list[int]], max_bits: int) -> list[tuple[np.ndarray, np.uint64]]:
     """Spanning edges of the links that have this variant as their first: [(members, the member that reached them)]."""
     earlier = []
@@ -125,7 +124,7 @@ def _edges_of_group(fps: np.ndarray, tag: int, cuts: list[list[int]], max_bits:
     return found
 
 
-def _link(rows: DataFrame, keys: list[str], tag: str, bits_of: dict | None, max_bits: int) -> DataFrame:
+def _link(rows: DataFrame, keys: list[str], bits_of: dict | None, max_bits: int) -> DataFrame:
     """Edges inside groups of equal keys; rows(keys..., fp) come sorted by keys within partitions.
 
     bits_of maps an outer tag to the bits cut for the inner one (None: one level).
@@ -176,10 +175,58 @@ def _link(rows: DataFrame, keys: list[str], tag: str, bits_of: dict | None, max_
 
 
 def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the size of their group, in one exchange, groups in order within partitions; lone rows go."""
-    from pyspark.sql import Window
+    """Rows of groups of two or more, in one exchange, in order within partitions; the caller has taken large groups out."""
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).filter("n > 1").drop("n")
+
+
+def _by_tag(bits: Column | None, max_bits: int, make: Callable[[list[list[int]]], Column]) -> Column:
+    """make(segments) over all bits, or over those that the outer tag leaves."""
+    every = list(range(WIDTH))
+    if bits is None:
+        return make(segments(every, max_bits))
+    out = F.lit(None)
+    for own in segments(every, max_bits):
+        out = F.when(bits.isin(own), make(segments([x for x in every if x not in own], max_bits))).otherwise(out)
+    return out
+
+
+def _variants(cuts: list[list[int]]) -> Column:
+    """array<struct<tag, key>> of fp: a segment with one bit wiped, for each bit; the tag is that bit."""
+    return F.array(*[F.struct(F.lit(b).cast("tinyint").alias("tag"), F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << y for y in x) & ~(1 << b)))).alias("key")) for x in cuts for b in x])
+
 
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).filter("n > 1")
+def _values(cuts: list[list[int]]) -> Column:
+    """array<struct<segment, fp>> of fp: each whole segment."""
+    return F.array(*[F.struct(F.lit(k).alias("segment"), F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << y for y in x)))).alias("fp")) for k, x in enumerate(cuts)])
+
+
+def _variants_of(cuts: list[list[int]]) -> Column:
+    """The variants of one whole segment, whose number stands in `segment`."""
+    out = F.lit(None)
+    for k, x in enumerate(cuts):
+        out = F.when(F.col("segment") == k, _variants([x])).otherwise(out)
+    return out
+
+
+def _level(rows: DataFrame, outer: list[str], names: list[str], spec: SimHashSpec) -> tuple[DataFrame, DataFrame | None]:
+    """(outer..., names..., fp): all variants of rows(outer..., fp), those that can hold over split_at rows apart (None: there are none).
+
+    A variant holds the rows of two segment values, so with more than split_at
+    one of these has over half; the values are counted, which combines before
+    the shuffle, and both variants of a value go with it.
+    """
+    bits = F.col(outer[-2]) if outer else None
+    values = rows.select(*outer, F.explode(_by_tag(bits, spec.max_bits, _values)).alias("s")).select(*outer, "s.segment", "s.fp")
+    heavy = cut(values.groupBy(*outer, "segment", "fp").count().filter(F.col("count") > spec.split_at // 2))
+    variants = rows.select(*outer, "fp", F.explode(_by_tag(bits, spec.max_bits, _variants)).alias("x")).select(*outer, F.col("x.tag").alias(names[0]), F.col("x.key").alias(names[1]), "fp")
+    n = heavy.count()
+    if not n:
+        return variants, None
+    listed = heavy.select(*outer, F.explode(_by_tag(bits, spec.max_bits, _variants_of)).alias("x")).select(*outer, F.col("x.tag").alias(names[0]), F.col("x.key").alias(names[1])).distinct()
+    if n <= spec.broadcast_rows:
+        listed = F.broadcast(listed)
+    on = [*outer, *names]
+    return variants.join(listed, on, "left_anti"), cut(variants.join(listed, on, "left_semi").select(*on, "fp"))
 
 
 def links(distinct_fps: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataFrame:
@@ -187,23 +234,26 @@ def links(distinct_fps: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataFra
 
     distinct_fps(fp) has each fingerprint once.
     """
-    every = list(range(WIDTH))
-    first = _grouped(distinct_fps.select("fp", F.explode(_variants(every, spec.max_bits, F.col("fp"))).alias("x")).select("x.tag", "x.key", "fp"), ["tag", "key"])
-    small = _link(first.filter(F.col("n") <= spec.split_at), ["tag", "key"], "tag", None, spec.max_bits)
+    every, outer, keys = list(range(WIDTH)), ["tag", "key"], ["tag", "key", "tag2", "key2"]
+    light, heavy = _level(distinct_fps.select("fp"), [], outer, spec)
+    edges = _link(_grouped(light, outer), outer, None, spec.max_bits)
+    if heavy is None:
+        return edges
     # The bits outside the segment differ by at most max_bits, so they are cut as the whole was.
-    rest = {}
-    for segment in segments(every, spec.max_bits):
-        for b in segment:
-            rest[b] = [x for x in every if x not in segment]
-    inner = F.lit(None)
-    for segment in segments(every, spec.max_bits):
-        inner = F.when(F.col("tag").isin(segment), _variants(rest[segment[0]], spec.max_bits, F.col("fp"))).otherwise(inner)
-    second = _grouped(
-        first.filter(F.col("n") > spec.split_at).select("tag", "key", "fp", F.explode(inner).alias("x")).select("tag", "key", F.col("x.tag").alias("tag2"), F.col("x.key").alias("key2"), "fp"),
-        ["tag", "key", "tag2", "key2"],
-    )
-    large = _link(second, ["tag", "key", "tag2", "key2"], "tag2", rest, spec.max_bits)
-    return small.unionByName(large)
+    rest = {b: [x for x in every if x not in segment] for segment in segments(every, spec.max_bits) for b in segment}
+    light, heavy = _level(heavy, outer, keys[2:], spec)
+    edges = edges.unionByName(_link(_grouped(light, keys), keys, rest, spec.max_bits))
+    if heavy is None:
+        return edges
+    return edges.unionByName(_link(_grouped(_blocks(heavy, keys, spec.split_at), [*keys, "pair"]), [*keys, "pair"], rest, spec.max_bits))
+
+
+def _blocks(rows: DataFrame, keys: list[str], split_at: int) -> DataFrame:
+    """rows(keys..., fp) once for each pair of blocks of its group that it belongs to, so that any two rows meet in a pair of few rows."""
+    sizes = rows.groupBy(*keys).count().filter("count > 1").select(*keys, F.ceil(F.col("count") / F.lit(split_at)).cast("long").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks"))
+    placed = rows.join(sizes, keys).withColumn("own", own).select("*", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    return placed.select(*keys, (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("pair"), "fp")
 
 
 def near_duplicates(docs: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataFrame:
