@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import re
 import string
 import zlib
@@ -60,6 +61,20 @@ def rule_statistics(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(covered), failed
 
 
+def fertility(text, model, bands, spread):
+    """(tokens, characters per token, fallback share, entropy share, whether the band of the text's language holds), token by token; bands: {lang: Band}."""
+    words = BLANK_WORD.findall(text or "")
+    pieces = [k for w in words for k in model.encode(w)]
+    n = len(pieces)
+    if not n:
+        return 0, 0.0, 0.0, 0.0, {}
+    shares = [c / n for c in collections.Counter(pieces).values()]
+    entropy = -sum(p * math.log2(p) for p in shares) / math.log2(spread * n / (spread + n)) if n > 1 else 1.0
+    chars, fallback, slack = sum(map(len, words)) / n, sum(map(model.is_byte, pieces)) / n, 0.3 / math.sqrt(n)
+    inside = {k: b.least_chars * (1 - slack) <= chars <= b.most_chars * (1 + slack) and fallback <= b.most_fallback + slack and entropy >= b.least_entropy - slack for k, b in bands.items()}
+    return n, chars, fallback, entropy, inside
+
+
 def line_dedup(docs):
     """docs [(doc_id, text)] -> [(doc_id, new text, lines, dropped)]; documents are told apart by id, rows without one count for none."""
     key = lambda line: line.strip(SPACE).translate(LOWER)

@@ -1,8 +1,18 @@
 """The bands decide: labelled bad texts that pass the base rules go, clean ones stay, short texts have a band."""
 
+import pathlib
+import sys
+
+import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
-from corpusloom.llm.quality_rules import judge
+sys.path.insert(0, str(pathlib.Path(__file__).parent))
+import brute  # noqa: E402
+
+from corpusloom.llm.quality_rules import BANDS, SPREAD, judge  # noqa: E402
+from corpusloom.llm.queries import op3_quality_rules  # noqa: E402
+from corpusloom.llm.vocab import PIECE_BPE, vocabulary_path  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -21,3 +31,19 @@ def test_short_texts_have_a_band(spark):
     found = {r["doc_id"]: r for r in judge(rows).collect()}
     assert all(not r["base_failed"] and r["n_tokens"] < 64 for r in found.values())
     assert not found[1]["kept"] and found[2]["kept"] and found[3]["kept"]
+
+
+def test_measures_and_verdicts_against_brute_force(spark):
+    """The query's rows, and a few odd texts, token by token."""
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(PIECE_BPE))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(900_001, None, "en"), (900_002, "a", "de"), (900_003, "b " * 40, "fr"), (900_004, " ".join(chr(0x1F300 + 7 * k) for k in range(30)), "es"), (900_005, "x | y | z & " * 9 + "end of it", "en")], docs.schema)
+    found = {r["doc_id"]: r for r in op3_quality_rules(spark, "/root/testdata/sf0.001").collect()} | {r["doc_id"]: r for r in judge(odd).collect()}
+    rows = docs.unionByName(odd).collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        n, chars, fallback, entropy, inside = brute.fertility(r["text"], model, BANDS, SPREAD)
+        got, failed = found[r["doc_id"]], brute.rule_statistics(r["text"])[-1]
+        assert (got["n_tokens"], got["base_failed"]) == (n, failed)
+        assert (got["chars_per_token"], got["fallback_share"], got["token_entropy"]) == pytest.approx((chars, fallback, entropy))
+        assert got["kept"] == (not failed and inside[r["lang"]])
