@@ -199,6 +199,124 @@ dual-licensed | 1 | dual | dual licen[cs]ed(?: under)?
 license-granted | 1 | license|licence | licen[cs]e is (?:hereby )?granted
 with-permission | 1 | permission | (?:used|reprinted|reproduced) (?:with|by) permission
 copyleft | 1 | copyleft | copyleft
+aal | 2 | attribution | attribution assurance licen[cs]e
+afl-2.1 | 2 | academic | academic free licen[cs]e (?:version |v)?2 1
+afl | 1 | academic | academic free licen[cs]e
+bsd-1-clause | 2 | bsd | (?:bsd 1 clause|1 clause bsd|one clause bsd)(?: licen[cs]e)?
+bsd-2-clause-patent | 2 | bsd | (?:bsd 2 clause plus patent|bsd plus patent|bsd patent)(?: licen[cs]e)?
+bsd-3-clause-clear | 2 | bsd | (?:bsd 3 clause clear|clear bsd)(?: licen[cs]e)?
+bsd-3-clause-clear | 3 | patent | no express or implied licenses to any party s patent rights are granted by this license
+blueoak-1.0.0 | 2 | blue | blue oak model licen[cs]e(?: (?:version |v)?1 0 0)?
+blueoak-1.0.0 | 3 | blueoakcouncil | blueoakcouncil org license 1 0 0
+busl-1.1 | 2 | business | business source licen[cs]e (?:version |v)?1 1
+busl-1.1 | 3 | mariadb | business source licen[cs]e is a trademark of mariadb
+busl | 1 | business | business source licen[cs]e
+cal-1.0 | 2 | cryptographic | cryptographic autonomy licen[cs]e(?: (?:version |v)?1 0)?
+cdla-permissive-2.0 | 2 | community | community data licen[cs]e agreement permissive (?:version |v)?2(?: 0)?
+cdla-permissive-1.0 | 2 | community | community data licen[cs]e agreement permissive (?:version |v)?1(?: 0)?
+cdla-sharing-1.0 | 2 | community | community data licen[cs]e agreement sharing (?:version |v)?1(?: 0)?
+cdla | 1 | cdla | cdla (?:permissive|sharing)
+cecill-2.1 | 2 | cecill | cecill (?:free software licen[cs]e agreement )?(?:version |v)?2 1
+cecill-b | 2 | cecill | cecill b(?: licen[cs]e)?
+cecill-c | 2 | cecill | cecill c(?: licen[cs]e)?
+cpal-1.0 | 2 | common | common public attribution licen[cs]e(?: (?:version |v)?1(?: 0)?)?
+ecl-2.0 | 2 | educational | educational community licen[cs]e (?:version |v)?2(?: 0)?
+ecl-1.0 | 2 | educational | educational community licen[cs]e (?:version |v)?1(?: 0)?
+efl-2.0 | 2 | eiffel | eiffel forum licen[cs]e (?:version |v)?2(?: 0)?
+efl-1.0 | 2 | eiffel | eiffel forum licen[cs]e (?:version |v)?1(?: 0)?
+eupl-1.0 | 2 | european | european union public licen[cs]e (?:version |v)?1 0
+hpnd | 2 | historical | historical permission notice and disclaimer
+hpnd | 3 | permission | permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted
+icu | 3 | permission | provided that the above copyright notice s and this permission notice appear in all copies of the software
+intel | 2 | intel | intel open source licen[cs]e
+intel-ssl | 2 | intel | intel simplified software licen[cs]e
+isc | 3 | author | the software is provided as is and the author disclaims all warranties with regard to this software
+jpnic | 2 | jpnic | japan network information center licen[cs]e jpnic
+json | 2 | json | json licen[cs]e
+json | 3 | evil | the software shall be used for good not evil
+lgpl-2.1-or-later | 3 | lesser | lesser general public license as published by the free software foundation either version 2 1(?: of the license)? or at your option any later version
+lgpl-3.0-or-later | 3 | lesser | lesser general public license as published by the free software foundation either version 3(?: of the license)? or at your option any later version
+lgpl-2.0-or-later | 3 | library | library general public license as published by the free software foundation either version 2(?: of the license)? or at your option any later version
+agpl-3.0-or-later | 3 | affero | affero general public license as published by the free software foundation either version 3(?: of the license)? or at your option any later version
+gpl-ccs | 1 | gnu | gnu gpl(?: (?:version |v)?\d)?
+lpl-1.02 | 2 | lucent | lucent public licen[cs]e (?:version |v)?1 02
+lpl-1.0 | 2 | lucent | lucent public licen[cs]e (?:version |v)?1 0
+lppl-1.3c | 2 | latex | latex project public licen[cs]e (?:version |v)?1 3c
+lppl-1.3 | 2 | latex | latex project public licen[cs]e (?:version |v)?1 3
+lppl | 1 | latex | latex project public licen[cs]e
+mir-os | 2 | miros | miros licen[cs]e
+mpl-2.0-no-copyleft | 2 | mozilla | mozilla public licen[cs]e (?:version |v)?2 0 no copyleft exception
+mpl-2.0 | 3 | mozilla | this source code form is subject to the terms of the mozilla public license (?:version |v)2 0
+mpl-2.0 | 3 | mozilla | mozilla org mpl 2 0
+mulanpsl-2.0 | 2 | mulan | mulan permissive software licen[cs]e (?:version |v)?2(?: 0)?
+mulanpsl-1.0 | 2 | mulan | mulan permissive software licen[cs]e (?:version |v)?1(?: 0)?
+mulanpsl | 1 | mulan | mulan psl(?: (?:version |v)?\d)?
+naist-2003 | 2 | naist | naist licen[cs]e
+nasa-1.3 | 2 | nasa | nasa open source agreement(?: (?:version |v)?1 3)?
+ncsa | 3 | illinois | university of illinois ncsa open source licen[cs]e
+nokia | 2 | nokia | nokia open source licen[cs]e
+nosl | 2 | netizen | netizen open source licen[cs]e
+npl-1.1 | 2 | netscape | netscape public licen[cs]e (?:version |v)?1 1
+npl-1.0 | 2 | netscape | netscape public licen[cs]e (?:version |v)?1 0
+npl | 1 | netscape | netscape public licen[cs]e
+npsl | 2 | nmap | nmap public source licen[cs]e
+ntp | 2 | ntp | ntp licen[cs]e
+oclc-2.0 | 2 | oclc | oclc research public licen[cs]e(?: (?:version |v)?2(?: 0)?)?
+ofl-1.0 | 2 | sil | sil open font licen[cs]e (?:version |v)?1 0
+ofl-1.1 | 3 | sil | licensed under the sil open font license version 1 1
+ogl-canada-2.0 | 2 | canada | open government licen[cs]e canada
+ogl-uk-2.0 | 2 | government | open government licen[cs]e (?:version |v)2(?: 0)?
+ogl-uk-1.0 | 2 | government | open government licen[cs]e (?:version |v)1(?: 0)?
+openldap-2.8 | 2 | openldap | openldap public licen[cs]e(?: (?:version |v)?2 8)?
+openssl-ssleay | 2 | ssleay | (?:original )?ssleay licen[cs]e
+oset-pl-2.1 | 2 | oset | oset (?:foundation )?public licen[cs]e(?: (?:version |v)?2 1)?
+osl-2.1 | 2 | software | open software licen[cs]e (?:version |v)?2 1
+osl-1.0 | 2 | software | open software licen[cs]e (?:version |v)?1 0
+osl | 1 | software | open software licen[cs]e
+parity-7.0.0 | 2 | parity | parity public licen[cs]e(?: (?:version |v)?7 0 0)?
+php-3.0 | 2 | php | php licen[cs]e (?:version |v)?3 0
+php | 1 | php | php licen[cs]e
+prosperity-3.0.0 | 2 | prosperity | prosperity public licen[cs]e(?: (?:version |v)?3 0 0)?
+psf-2.0 | 2 | python | python software foundation licen[cs]e(?: (?:version |v)?2(?: 0)?)?
+python-2.0.1 | 2 | python | python licen[cs]e 2 0 1
+cnri-python | 2 | cnri | cnri (?:open source )?python licen[cs]e(?: agreement)?
+rpl-1.5 | 2 | reciprocal | reciprocal public licen[cs]e (?:version |v)?1 5
+rpl | 1 | reciprocal | reciprocal public licen[cs]e
+rpsl-1.0 | 2 | realnetworks | realnetworks public source licen[cs]e(?: (?:version |v)?1 0)?
+rscpl | 2 | ricoh | ricoh source code public licen[cs]e
+sgi-b-2.0 | 2 | sgi | sgi free software licen[cs]e b(?: (?:version |v)?2 0)?
+simpl-2.0 | 2 | simple | simple public licen[cs]e(?: (?:version |v)?2 0)?
+sissl | 2 | sun | sun industry standards source licen[cs]e(?: (?:version |v)?1 [12])?
+sleepycat | 2 | sleepycat | sleepycat licen[cs]e
+spl-1.0 | 2 | sun | sun public licen[cs]e(?: (?:version |v)?1 0)?
+sspl-1.0 | 3 | mongodb | server side public license is a trademark of mongodb
+tcl | 2 | tcl | tcl tk licen[cs]e
+ucl-1.0 | 2 | upstream | upstream compatibility licen[cs]e(?: (?:version |v)?1 0)?
+unicode-3.0 | 2 | unicode | unicode licen[cs]e (?:version |v)?3
+unicode-tou | 2 | unicode | unicode terms of use
+unlicense | 3 | unlicense | for more information please refer to (?:https? )?unlicense org
+upl-1.0 | 3 | permissive | universal permissive licen[cs]e (?:version |v)1 0
+vovida-1.0 | 2 | vovida | vovida software licen[cs]e(?: (?:version |v)?1 0)?
+vsl-1.0 | 1 | vsl | vsl 1 0
+watcom-1.0 | 2 | sybase | sybase open watcom public licen[cs]e(?: (?:version |v)?1 0)?
+wxwindows | 2 | wxwindows | wxwindows library licen[cs]e(?: (?:version |v)?3 1)?
+xfree86-1.1 | 2 | xfree86 | xfree86 licen[cs]e(?: (?:version |v)?1 1)?
+xnet | 2 | net | x net licen[cs]e
+zend-2.0 | 2 | zend | zend (?:engine )?licen[cs]e(?: (?:version |v)?2(?: 0)?)?
+zlib | 3 | altered | this notice may not be removed or altered from any source distribution
+zlib-acknowledgement | 2 | zlib | zlib licen[cs]e with acknowledg(?:e)?ment
+zpl-2.1 | 2 | zope | zope public licen[cs]e(?: zpl)? (?:version |v)?2 1
+zpl-2.0 | 2 | zope | zope public licen[cs]e(?: zpl)? (?:version |v)?2 0
+zpl | 1 | zope | zope public licen[cs]e
+llama-community | 2 | llama | llama (?:\d |\d \d )?community licen[cs]e(?: agreement)?
+openrail | 2 | rail | (?:creativeml |bigscience )?open rail(?: m)?(?: licen[cs]e)?
+openrail | 2 | openrail | (?:creativeml |bigscience )?openrail(?: m)?(?: licen[cs]e)?
+etalab-2.0 | 2 | etalab | (?:licence ouverte )?etalab(?: open licence)? (?:version |v)?2 0
+dl-de-by-2.0 | 2 | datenlizenz | datenlizenz deutschland namensnennung (?:version )?2 0
+dl-de-zero-2.0 | 2 | datenlizenz | datenlizenz deutschland zero (?:version )?2 0
+copyright-retained | 1 | copyright | (?:the )?(?:author|authors) retains? (?:the |all )?copyright
+no-modification | 1 | modified|modify | (?:may|must) not be modified
+attribution-required | 1 | attribution | attribution (?:is )?required
 """
 
 #: Public identifiers, stated as the SPDX list spells them.
