@@ -14,10 +14,13 @@ from corpusloom.llm.simhash import near_duplicates
 from corpusloom.llm.token_store import read_tokens, write_tokens
 from corpusloom.llm.url_filter import Rule, filter_urls
 from corpusloom.llm.warc import read_archives, write_archives
+from corpusloom.llm.workspace import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; texts are spread over the cores where their file has fewer row groups."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]

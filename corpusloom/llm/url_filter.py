@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.words import ascii_lower
+from corpusloom.llm.workspace import cut
 
 BLOCK_BITS = 256
 #: Bytes that a block takes in a broadcast table, with its number and row.
@@ -113,7 +114,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], spec: Fi
     tested = F.lit(True)
     for i in range(4):
         tested = tested & (F.col(f"b{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
-    probed = placed.join(table, "block", "left").select(*base.columns, F.coalesce(tested & F.col("canonical").isNotNull(), F.lit(False)).alias("possible"))
+    # kept, as possible hits and the rest go on apart: the pages are read and parsed once
+    probed = cut(placed.join(table, "block", "left").select(*base.columns, F.coalesce(tested & F.col("canonical").isNotNull(), F.lit(False)).alias("possible")))
     held = keys.select(F.col("key"), F.lit(True).alias("hit"))
     hits = probed.filter("possible").join(held.hint("shuffle_hash"), F.col("canonical") == F.col("key"), "left").select(*probed.columns, F.coalesce("hit", F.lit(False)).alias("listed"))
     judged = hits.unionByName(probed.filter("not possible").withColumn("listed", F.lit(False)))

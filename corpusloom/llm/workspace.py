@@ -1,15 +1,15 @@
 """Where operators keep what executors and driver must both see.
 
 Work tables and files go to the shared folder the cluster names in
-``spark.checkpoint.dir``.  Only where that is unset (tests, a single machine)
-does the session get a temporary folder of its own.
+``spark.checkpoint.dir``.  Only where that is unset and the session runs on this
+machine alone (tests) does it get a temporary folder of its own; on a cluster
+without that setting work stops, as executors would not see the driver's folder.
 """
 
 from __future__ import annotations
 
 import io
 import pathlib
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.session import local_dir, spread  # noqa: F401  (the operators take spread from here)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder; also makes it the session's checkpoint folder."""
@@ -25,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if held.isEmpty():
-        named = named or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        named = named or local_dir(spark)
         context.setCheckpointDir(named)
     return (named or held.get()).rstrip("/")
 
