@@ -44,30 +44,48 @@ def has_table(text: Column) -> Column:
 
 def numeric_density(text: Column) -> Column:
     """Share of white-space tokens with a digit, to four places; 0 without tokens."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+", -1), lambda x: x != "")
-    numeric = F.size(F.filter(words, lambda x: x.rlike("[0-9]")))
-    return F.when(F.size(words) > 0, F.round(numeric / F.size(words), 4)).otherwise(F.lit(0.0))
+    text = F.coalesce(text, F.lit(""))
+    words = F.regexp_count(text, F.lit(r"\S+"))
+    # from the start of a token over what is no digit, without going back
+    numeric = F.regexp_count(text, F.lit(r"(?<!\S)[^\s0-9]*+[0-9]"))
+    return F.when(words > 0, F.round(numeric / words, 4)).otherwise(F.lit(0.0))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), where the value is computed once however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def quality_reason(text: Column, least_chars: int = 40, most_bad: float = 0.10, least_alnum: float = 0.50, least_unique: int = 8, most_repeat: float = 0.40) -> Column:
     """The first quality rule that a text fails, or ok; display math counts as valid characters."""
+
+    def parts(bare: Column) -> Column:
+        has_math = bare.contains("$$")
+        return F.struct(
+            F.char_length(bare).alias("n"),
+            F.regexp_count(bare, F.lit(P.BAD_CHARACTER)).alias("bad"),
+            F.when(has_math, F.regexp_replace(bare, P.DISPLAY_MATH, " ")).otherwise(bare).alias("prose"),
+            F.when(has_math, F.char_length(bare) - F.char_length(F.regexp_replace(bare, P.DISPLAY_MATH, ""))).otherwise(0).alias("math"),
+            F.regexp_extract_all(F.lower(bare), F.lit(P.WORD), 0).alias("words"),
+        )
+
+    def counts(x: Column) -> Column:
+        solid = F.char_length(F.regexp_replace(x["prose"], r"\s+", ""))
+        alnum = F.char_length(x["prose"]) - F.char_length(F.regexp_replace(x["prose"], r"[\p{L}\p{N}]+", ""))
+        return F.struct(x["n"].alias("n"), x["bad"].alias("bad"), (solid + x["math"]).alias("solid"), (alnum + x["math"]).alias("alnum"), F.size(x["words"]).alias("words"), F.size(F.array_distinct(x["words"])).alias("unique"))
+
+    def verdict(x: Column) -> Column:
+        return (
+            F.when(x["n"] < least_chars, "short")
+            .when(x["bad"] / x["n"] > most_bad, "encoding")
+            .when((x["solid"] > 0) & (x["alnum"] / x["solid"] < least_alnum), "alphanumeric")
+            .when(x["unique"] < least_unique, "unique")
+            .when(1 - x["unique"] / x["words"] > most_repeat, "repetition")
+            .otherwise("ok")
+        )
+
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    n = F.char_length(bare)
-    bad = F.regexp_count(bare, F.lit(P.BAD_CHARACTER))
-    prose = F.regexp_replace(bare, P.DISPLAY_MATH, " ")
-    math = n - F.char_length(F.regexp_replace(bare, P.DISPLAY_MATH, ""))
-    solid = F.char_length(F.regexp_replace(prose, r"\s", ""))
-    alnum = F.char_length(F.regexp_replace(prose, r"[^\p{L}\p{N}]", ""))
-    words = F.regexp_extract_all(F.lower(bare), F.lit(P.WORD), 0)
-    unique = F.size(F.array_distinct(words))
-    return (
-        F.when(n < least_chars, "short")
-        .when(bad / n > most_bad, "encoding")
-        .when((solid + math > 0) & ((alnum + math) / (solid + math) < least_alnum), "alphanumeric")
-        .when(unique < least_unique, "unique")
-        .when(1 - unique / F.size(words) > most_repeat, "repetition")
-        .otherwise("ok")
-    )
+    return bound(bound(bound(bare, parts), counts), verdict)
 
 
 def clean_markdown(text: Column) -> Column:
