@@ -141,3 +141,13 @@ def route_formats(files: DataFrame, switches: set[str]) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
     joined = files.join(F.broadcast(registry), suffix == F.col("sfx"), "left")  # the registry is a constant of a few rows
     return joined.withColumn("enabled", F.col("sfx").isNotNull() & (F.col("switch").isNull() | F.col("switch").isin(*switches))).drop("sfx")
+
+
+def metadata_defaults(files: DataFrame, ocr: tuple[str, ...] = ()) -> DataFrame:
+    """files(path, page, ...) with source_type (unknown for other suffixes), page only where the format keeps page numbers, and forced_ocr where the path holds one of `ocr`, case aside."""
+    registry = files.sparkSession.createDataFrame([(f[0], f[1], f[5]) for f in P.FORMATS], "sfx string, source_type string, page_numbers boolean")
+    joined = files.join(F.broadcast(registry), F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)) == F.col("sfx"), "left")  # the registry is a constant of a few rows
+    forced = F.lit(False)
+    for part in ocr:
+        forced = forced | F.lower("path").contains(part.lower())
+    return joined.withColumns({"source_type": F.coalesce("source_type", F.lit("unknown")), "page": F.when(F.coalesce("page_numbers", F.lit(False)), F.col("page")), "forced_ocr": forced}).drop("sfx", "page_numbers")

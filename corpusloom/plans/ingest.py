@@ -27,18 +27,20 @@ def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 100) -> Dat
 
 
 def ingest(spark: SparkSession, folders: list[str], chunk_root: str, manifest_root: str) -> dict[str, int]:
-    """Chunk what is new, then record it; a run that fails before the manifest is written is simply done again."""
+    """Chunk what is new and append it, then record it; what is held is read for its ids alone and never written again.
+
+    A run that fails before the manifest is written is simply done again: the
+    chunks that it left are known by their ids.
+    """
     docs = new_documents(spark, folders, manifest_root)
     chunks = chunk_documents(docs)
-    schema = chunks.schema
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    held = tables.read_version(spark, chunk_root, ddl)
-    fresh = incremental.new_rows(chunks, held, "chunk_id", F.col("idx")).select(*held.columns)
-    number = tables.write_version(held.unionByName(fresh), chunk_root)
-    written = tables.read_version(spark, chunk_root, ddl, number)
-    counted = written.groupBy("file_hash", "source").agg(F.count("*").alias("chunk_count")).withColumn("ingested_at", F.current_timestamp())
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema.fields)
+    held = tables.read_appended(spark, chunk_root, ddl)
+    fresh = incremental.new_rows(chunks, held.select("chunk_id"), "chunk_id", F.col("idx")).select(*held.columns)
+    tables.write_version(fresh, chunk_root)
     known = tables.read_version(spark, manifest_root, MANIFEST)
-    new = counted.join(known.select("file_hash"), "file_hash", "left_anti").select(*known.columns)
+    unlisted = tables.read_appended(spark, chunk_root, ddl).join(known.select("file_hash"), "file_hash", "left_anti")
+    new = unlisted.groupBy("file_hash", "source").agg(F.count("*").alias("chunk_count")).withColumn("ingested_at", F.current_timestamp()).select(*known.columns)
     tables.write_version(known.unionByName(new), manifest_root)
     total = tables.read_version(spark, manifest_root, MANIFEST)
     return total.agg(F.count("*").alias("files"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks")).first().asDict()

@@ -136,6 +136,19 @@ def format_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.route_formats(values(spark, FILES, "id int, path string, n long"), switches={"office"}).select("id", "source_type", "category", "gated", "enabled")
 
 
+@QUERIES.add(f"""
+select doc_id, coalesce(source_type, 'unknown') as source_type, case when coalesce(pages, false) then page end as page, contains(lower(path), 'scan') or contains(lower(path), 'src1') as forced_ocr
+from (select doc_id, 'In/' || source || case when doc_id % 7 = 0 then '/Scan' else '/file' end || ['.pdf', '.html', '.md', '.docx', '.bin'][cast(doc_id % 5 + 1 as integer)] as path, doc_id % 9 as page from documents)
+left join {sql_values(FORMAT_ROWS, 'sfx, source_type, category, gated, switch, pages')} on lower(regexp_extract(path, '\\.[^./]+$')) = sfx
+""")
+def file_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of files by suffix: source type, page numbers only where the format keeps them, and whether a path asks for OCR of whole pages."""
+    suffix = F.get(F.array(*map(F.lit, (".pdf", ".html", ".md", ".docx", ".bin"))), (F.col("doc_id") % 5).cast("int"))
+    name = F.when(F.col("doc_id") % 7 == 0, "/Scan").otherwise("/file")
+    files = table(spark, sf_dir, "documents", ["doc_id", "source"]).select("doc_id", F.concat(F.lit("In/"), "source", name, suffix).alias("path"), (F.col("doc_id") % 9).alias("page"))
+    return chunking.metadata_defaults(files, ocr=("scan", "src1")).select("doc_id", "source_type", "page", "forced_ocr")
+
+
 @QUERIES.add("select doc_id, length(text) as n from documents where length(text) <= 2000")
 def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("n")).filter("n <= 2000")

@@ -77,11 +77,16 @@ GOLDEN = (
 
 
 def golden_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of JSON-lines files; blank and comment lines (// or #) go, a line that is no JSON raises with its file and text."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """Items of JSON-lines files; blank and comment lines (// or #) go, a line that is no JSON raises with its file, number and text.
+
+    Golden files are small: each is read as one row, so that its lines have numbers.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.split("value", "\\r?\\n", -1).alias("lines"), F.col("_metadata.file_path").alias("file"))
+    lines = whole.select("file", F.posexplode("lines").alias("at", "value"))
     kept = lines.filter(~F.col("value").rlike(r"^\s*($|//|#)"))
     bad = F.expr("try_parse_json(value)").isNull()
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("not JSON in "), "file", F.lit(": "), F.substring("value", 1, 80)))).otherwise(F.col("value"))
+    where = F.concat(F.lit("not JSON in "), "file", F.lit(":"), (F.col("at") + 1).cast("string"), F.lit(": "), F.substring("value", 1, 80))
+    checked = F.when(bad, F.raise_error(where)).otherwise(F.col("value"))
     return kept.select(F.from_json(checked.cast("string"), GOLDEN).alias("item")).select("item.*").withColumn("answerable", F.coalesce("answerable", F.lit(True)))
 
 

@@ -40,6 +40,14 @@ def read_version(spark: SparkSession, root: str, schema: str, number: int | None
     return spark.read.schema(schema).parquet(f"{root}/v={number or known[-1]}")
 
 
+def read_appended(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All versions of a table together, where each holds what was added; an empty table where there is none."""
+    known = versions(spark, root)
+    if not known:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{root}/v={n}" for n in known])
+
+
 def clear(spark: SparkSession, root: str) -> None:
     _, at, fs = _hadoop(spark, root)
     fs.delete(at, True)
