@@ -120,6 +120,62 @@ def output_decision(answer: Column, context: Column, valid: Column) -> Column:
     return F.struct(action.alias("action"), unsupported.alias("unsupported"), fabricated.alias("fabricated"))
 
 
+@dataclass(frozen=True)
+class ResponsePolicy:
+    """grounding: what ungrounded content does (flag, strip or refuse); most_ungrounded: share of factual sentences beyond which an answer is refused; factual_chars: of a sentence that states something; toxic: words that refuse an answer."""
+
+    grounding: str = "strip"
+    most_ungrounded: float = 0.5
+    factual_chars: int = 25
+    toxic: tuple[str, ...] = ()
+
+
+def response_decision(rows: DataFrame, answer: str, context: str, valid: str, ungrounded: str, policy: ResponsePolicy = ResponsePolicy()) -> DataFrame:
+    """rows with action, response, citations and reasons: the whole decision on an answer.
+
+    valid holds the ids that may be cited, ungrounded the sentences that no
+    passage supports (null: not checked).  In order: leaks are scrubbed, unknown
+    citations removed, numbers met with the context (an empty one checks none),
+    ungrounded content flagged, stripped or refused, personal data redacted, toxic
+    words refused.  A refused response is empty.
+    """
+    text = F.coalesce(F.col(answer), F.lit(""))
+    known = F.coalesce(F.col(valid), F.array().cast("array<string>"))
+    bad = F.coalesce(F.col(ungrounded), F.array().cast("array<string>"))
+    has_context = F.coalesce(F.col(context), F.lit("")) != ""
+
+    def cited(x: Column) -> Column:
+        inline = F.transform(F.regexp_extract_all(x, F.lit(P.INLINE_CITATION), 1), lambda i: F.concat(F.lit("S"), i))
+        footer = F.filter(F.transform(F.split(F.regexp_extract(x, r"(?i)SOURCES:\s*\[([^\]]*)\]", 1), ","), F.trim), lambda i: i.rlike(r"^S[0-9]+$"))
+        return F.array_sort(F.array_distinct(F.concat(inline, footer)))
+
+    def without_unknown(x: Column) -> Column:
+        return F.aggregate(F.array_except(cited(x), known), x, lambda t, i: F.replace(t, F.concat(F.lit("["), i, F.lit("]")), F.lit("")))
+
+    leak = X.leaks(text)
+    scrubbed = X.bound(F.when(leak, X.scrub_leaks(text)).otherwise(text), without_unknown)
+    numbers = F.when(has_context, F.size(F.array_except(X.normalized_numbers(F.col("_a")), X.normalized_numbers(F.coalesce(F.col(context), F.lit("")))))).otherwise(0)
+    factual = F.greatest(F.lit(1), F.size(F.filter(X.sentences(F.regexp_replace("_a", P.SOURCES_FOOTER, "")), lambda s: F.char_length(F.trim(s)) > policy.factual_chars)))
+    found = rows.withColumn("_a", scrubbed).withColumns({"_numbers": numbers, "_bad": bad}).withColumn("_over", F.size("_bad") / factual > policy.most_ungrounded)
+    some_bad = F.size("_bad") > 0
+    acts = F.lit(policy.grounding != "flag") & (some_bad | (F.col("_numbers") > 0))
+    outright = acts & (F.lit(policy.grounding == "refuse") | ((F.col("_numbers") > 0) & ~some_bad) | F.col("_over"))
+    stripped = F.when(acts & some_bad, X.bound(strip_sentences(F.col("_a"), F.col("_bad")), without_unknown)).otherwise(F.col("_a"))
+    found = found.withColumn("_s", stripped).withColumn("_refused", outright | (acts & some_bad & (F.col("_s") == "")))
+    words = F.regexp_extract_all(F.lower("_s"), F.lit("[a-z]+"), 0)
+    toxic = F.arrays_overlap(words, F.array(*map(F.lit, policy.toxic))) if policy.toxic else F.lit(False)
+    found = found.withColumn("_toxic", ~F.col("_refused") & F.coalesce(toxic, F.lit(False)))
+    refused = F.col("_refused") | F.col("_toxic")
+    reasons = F.array_compact(F.array(
+        F.when(leak, "leakage_scrubbed"), F.when(F.col("_numbers") > 0, F.concat(F.lit("ungrounded_numbers:"), F.col("_numbers").cast("string"))), F.when(some_bad, F.concat(F.lit("ungrounded_sentences:"), F.size("_bad").cast("string"))),
+        F.when(F.col("_refused"), "grounding_refused"), F.when(~F.col("_refused") & (F.col("_s") != F.col("_a")), "grounding_stripped"), F.when(F.col("_toxic"), "toxicity"),
+    ))
+    response = F.when(refused, "").otherwise(X.redact(F.col("_s")))
+    action = F.when(refused, "refuse").when(response != text, "sanitize").otherwise("allow")
+    citations = F.when(refused, F.array().cast("array<string>")).otherwise(F.array_intersect(cited(F.col("_s")), known))
+    return found.withColumns({"action": action, "response": response, "citations": citations, "reasons": reasons}).drop("_a", "_numbers", "_bad", "_over", "_s", "_refused", "_toxic")
+
+
 def strip_sentences(answer: Column, bad: Column) -> Column:
     """The answer without these sentences, its SOURCES line kept; empty if nothing is left."""
     footer = F.trim(F.regexp_extract(answer, P.SOURCES_FOOTER, 0))

@@ -197,6 +197,20 @@ def strip_ungrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", guard.strip_sentences(F.col("a"), bad).alias("stripped"))
 
 
+@QUERIES.add()
+def guard_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole decision on every turn as an answer, the turn before it as its context; which sentences lack support is made by a rule, as the table has no vectors."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), P.SOURCES_FOOTER, "")
+    unsupported = F.when(F.col("conv_id") % 3 == 0, F.filter(X.sentences(bare), lambda s, i: (i + F.col("turn")) % 4 == 0))
+    made = t.select("conv_id", "turn", F.concat_ws(" ", "text", F.when(F.col("turn") % 2 == 0, "See [S1] and [S7].")).alias("answer"), F.coalesce(before, F.lit("")).alias("context"), unsupported.alias("unsupported")).withColumn("valid", F.array(F.lit("S1"), F.lit("S2")))
+    made = made.unionByName(values(spark, [(-i, 0, a, c, None, [f"S{k + 1}" for k in range(n)]) for i, a, c, n in ANSWERS], "conv_id long, turn long, answer string, context string, unsupported array<string>, valid array<string>"))
+    policy = guard.ResponsePolicy(toxic=tuple(WORDLIST))
+    found = guard.response_decision(made, "answer", "context", "valid", "unsupported", policy)
+    return found.select("conv_id", "turn", "action", F.sha2(F.col("response").cast("binary"), 256).alias("response"), F.array_join("citations", ",").alias("citations"), F.array_join("reasons", ",").alias("reasons"))
+
+
 HITS_SQL = "(select conv_id as query_id, turn as hit, case when turn % 3 = 0 then 0.0 else (conv_id * 7 + turn * 13) % 100 / 100.0 end as relevance, (conv_id * 3 + turn) % 50 / 100.0 as score from conversations)"
 
 
