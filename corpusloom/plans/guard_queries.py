@@ -234,14 +234,9 @@ select vec_id, max(cs) >= 0.30 as attack, round(max(cs), 6) as top from (
   from embeddings e cross join (select embedding from embeddings where label = 3) a where e.label <> 3) group by vec_id
 """)
 def similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors like those of label 3; the limit is 0.30, as the test vectors are far apart, where the operator's own is 0.80."""
     e = table(spark, sf_dir, "embeddings")
-    corpus = e.filter("label <> 3").select("vec_id", F.col("embedding").alias("v"))
-    attacks = e.filter("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = None
-    for part in similarity.query_blocks(similarity.unit(attacks, "q"), "query_id"):
-        found = similarity.unit(corpus, "v").join(F.broadcast(part), F.lit(True)).select("vec_id", similarity.dot(F.col("q"), F.col("v")).alias("cs"))
-        scored = found if scored is None else scored.unionByName(found)
-    return scored.groupBy("vec_id").agg((F.max("cs") >= 0.30).alias("attack"), F.round(F.max("cs"), 6).alias("top"))
+    return similarity.attack_gate(e.filter("label <> 3").select("vec_id", F.col("embedding").alias("v")), e.filter("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), least=0.30)
 
 
 @QUERIES.add("""
