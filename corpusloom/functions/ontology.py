@@ -36,7 +36,7 @@ TRAILING_TYPES = ["satellite", "satellites", "sensor", "sensors", "mission", "mi
 LEXICON = {
     "insat3d": "INSAT-3D", "insat3dr": "INSAT-3DR", "insat3a": "INSAT-3A", "oceansat2": "Oceansat-2", "oceansat3": "Oceansat-3", "scatsat1": "SCATSAT-1", "meghatropiques": "Megha-Tropiques", "kalpana1": "Kalpana-1", "cartosat": "Cartosat",
     "resourcesat2": "Resourcesat-2", "saral": "SARAL", "altika": "AltiKa", "ocm": "OCM", "ocm2": "OCM-2", "ocm3": "OCM-3", "scatterometer": "Scatterometer", "msmr": "MSMR", "sar": "SAR", "isro": "ISRO", "sac": "Space Applications Centre",
-    "mosdac": "MOSDAC", "sst": "Sea Surface Temperature", "ndvi": "NDVI", "chlorophyll": "Chlorophyll",
+    "sst": "Sea Surface Temperature", "ndvi": "NDVI", "chlorophyll": "Chlorophyll",
 }
 
 # Properties and units of measurements.
@@ -98,9 +98,9 @@ def canonical_key(name: Column) -> Column:
     return F.replace(F.array_join(_stripped(F.split(low, " ", -1)), ""), F.lit("-"), F.lit(""))
 
 
-def canonical_name(name: Column) -> Column:
-    """The lexicon's name for a known key, else the name without determiner (as written in lower case) and trailing type word."""
-    known = F.try_element_at(literal_map(LEXICON), canonical_key(name))
+def canonical_name(name: Column, lexicon: dict[str, str] = LEXICON) -> Column:
+    """The name that a lexicon (key -> name; callers bring their own) has for a known key, else the name without determiner (as written in lower case) and trailing type word."""
+    known = F.try_element_at(literal_map(lexicon), canonical_key(name))
     bare = F.trim(F.array_join(_stripped(F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ", -1)), " "), F.lit(" -"))
     return F.coalesce(known, F.when(bare != "", bare), F.trim(name))
 

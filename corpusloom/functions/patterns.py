@@ -48,7 +48,7 @@ INJECTION = [
     (r"(show|reveal|print|give\s+me)\s+(?:me\s+)?(?:(?:your|the)\s+)?(api[\s_]?key|token|password|secret|credential)", "exfil", "refuse"),
     (r"(print|repeat|echo)\s+(the\s+)?(text|content|words?)\s+(above|before|previously|earlier)", "exfil", "refuse"),
     (r"(print|show|reveal|display|output|dump)\s+.{0,30}(system\s+prompt|your\s+instructions?)", "exfil", "refuse"),
-    (r"\.env\b|TABBY_API|NEO4J_PASS|NOMIC_API|system_prompt\.txt", "exfil", "refuse"),
+    (r"\.env\b|\b[A-Z0-9]+_API_(?:TOKEN|KEY)\b|\b[A-Z0-9]+_PASS(?:WORD)?\b|system_prompt\.txt", "exfil", "refuse"),
     (r"training\s+data|model\s+weights|internal\s+(data|database|documents?)", "exfil", "sanitize"),
     (r"<\|system\|>|<\|assistant\|>|<\|im_start\|>|<\|im_end\|>", "tag_injection", "refuse"),
     (r"###\s*(System|Instruction|Assistant|Human|User)\s*:", "tag_injection", "refuse"),
@@ -60,15 +60,15 @@ INJECTION = [
 ]
 NEUTRALIZED = "[neutralized-instruction]"
 
-# System internals that must not leave.
+# System internals that must not leave; settings and modules by their form, whatever the product.
 LEAKAGE = [
     r"(?i)RESPONSE RULES:|SCREENSHOT ANALYSIS INSTRUCTIONS:|GENERAL RULES:|MULTI-HOP PROTOCOL:",
     r"(?i)CONVERSATION & FOLLOW-UPS:|MULTI-HOP & QUANTITATIVE REASONING:",
     r"\[Source:[^\n]*?\|\s*score=[0-9.]+\]",
     r"(?i)KNOWLEDGE GRAPH \(entity relationships\):|DOCUMENT PASSAGES \(relevant text",
     r"(?i)<<CONTEXT>>|<</CONTEXT>>|<<USER_QUERY>>|<</USER_QUERY>>",
-    r"(?i)TABBY_API_TOKEN|NEO4J_PASSWORD|NOMIC_API_TOKEN|TABBY_API_KEY",
-    r"(?i)system_prompt\.txt|graph_rag_chain\.py|tabby_client\.py",
+    r"(?i)\b[A-Z0-9]+_API_(?:TOKEN|KEY)\b|\b[A-Z0-9]+_PASSWORD\b",
+    r"(?i)system_prompt\.txt|\b[a-z_]+_(?:chain|client)\.py\b",
     r"(?i)NEED_MORE:\s*[^\n]+",
 ]
 

@@ -88,7 +88,7 @@ def pii_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii_rows(spark, sf_dir).select("id", X.contains_pii(t).alias("has_pii"), *[X.pii_count(t, k).alias(k.lower()) for k in ("EMAIL", "IP_ADDRESS", "CREDIT_CARD")])
 
 
-LEAKS = [(1, "GENERAL RULES: be nice"), (2, "[Source: a.pdf | score=0.9312] text"), (3, "nothing here"), (4, "token TABBY_API_TOKEN and need_more: more facts"), (5, "<<context>> x <</CONTEXT>>")]
+LEAKS = [(1, "GENERAL RULES: be nice"), (2, "[Source: a.pdf | score=0.9312] text"), (3, "nothing here"), (4, "token ACME_API_TOKEN and need_more: more facts"), (5, "<<context>> x <</CONTEXT>>")]
 
 
 @QUERIES.add(f"select id, {' or '.join(f'''regexp_matches(t, '{_q(p)}')''' for p in P.LEAKAGE)} as leaks, trim({_nested(P.LEAKAGE, 't', '[REDACTED]')}) as scrubbed from {sql_texts_with(LEAKS)}")
