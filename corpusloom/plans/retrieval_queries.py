@@ -51,9 +51,7 @@ def _vectors(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     queries = e.join(table(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id"), "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     corpus = e.join(table(spark, sf_dir, "documents").select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi").select("vec_id", F.col("embedding").alias("v"))
-    found = S.nearest(queries, corpus, 4 * k)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.select("query_id", F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return S.nearest(queries, corpus, k).select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
 
 
 def _fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -83,10 +81,8 @@ select query_id, vec_id, score, 1 - score as distance, rank from (
 """)
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    found = S.nearest(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 20)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.select("query_id", "vec_id", F.round("score", 6).alias("score")).withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
-    return ranked.select("query_id", "vec_id", "score", (1 - F.col("score")).alias("distance"), "rank")
+    found = S.nearest(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 5)
+    return found.select("query_id", "vec_id", "score", (1 - F.col("score")).alias("distance"), "rank")
 
 
 @QUERIES.add("select count(*) as n, count(distinct len(embedding)) = 1 as consistent, max(len(embedding)) as dimension from embeddings")
