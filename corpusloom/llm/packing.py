@@ -42,7 +42,7 @@ from corpusloom.llm.workspace import arrow_map, cut, file_system, fresh_dir, sli
 
 @dataclass(frozen=True)
 class PackSpec:
-    """ranges: of a round's sort (None: as many as the session's shuffle partitions)."""
+    """ranges: of a round's sort (None: of about rows_per_range pieces and gaps, as many as the session's shuffle partitions at most while they stay under 50 times that)."""
 
     capacity: int = 2048
     vocabulary: str = BYTE_BPE
@@ -50,6 +50,7 @@ class PackSpec:
     end_id: int = 0
     max_entries: int = 200_000
     ranges: int | None = None
+    rows_per_range: int = 20_000
 
 
 STORED = pa.schema([("pid", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -217,7 +218,11 @@ def place(pieces: DataFrame, spec: PackSpec, out: str | None = None) -> DataFram
     The pieces are first written by class, so that a round reads its own alone.
     """
     spark, capacity = pieces.sparkSession, spec.capacity
-    ranges = spec.ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def ranges_for(rows: int) -> int:
+        return spec.ranges or max(1, -(-rows // (50 * spec.rows_per_range)), min(parts, -(-rows // spec.rows_per_range)))
+
     bounds = [capacity, *[capacity // d for d in DIVISORS], 0]
     number = sum((F.col("length") <= b).cast("int") for b in bounds[1:-1]) if len(bounds) > 2 else F.lit(0)
     classes = f"{out or fresh_dir(spark, 'classes')}/classes"
@@ -236,6 +241,7 @@ def place(pieces: DataFrame, spec: PackSpec, out: str | None = None) -> DataFram
             continue
         low, high = (0, max(1, longest)) if tail else (bounds[k + 1], bounds[k])
         n_items = n_new + n_carried
+        ranges = ranges_for(n_items + counts.get(0, 0) + opened)  # no more gaps than sequences
         items = sized.filter(F.col("class") == k).select("pid", "length") if n_new else carried
         if n_new and n_carried:
             items = items.unionByName(carried).coalesce(ranges)
