@@ -19,8 +19,8 @@ both (best-bin estimation).
 
 Features are surface statistics of the whole text and a hashed histogram of its
 word shapes; language, source, id and labels are none of them.  They are computed
-once and kept as a table in the shared folder.  The positives that teach are at
-most ``max_positives``, chosen by a hash of their id.
+once and kept as a table in the shared folder.  The positives that teach are about
+``max_positives`` at most, chosen by a hash of their id.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from corpusloom.llm.workspace import arrow_map, fresh_dir, slices
 
 @dataclass(frozen=True)
 class ClassifierSpec:
-    """max_positives: labelled rows that teach; first_prior: of the fit whose scores give the prior; bins: of those scores; risk: chance that the prior's bound fails."""
+    """max_positives: labelled rows that teach, about so many at most; first_prior: of the fit whose scores give the prior; bins: of those scores; risk: chance that the prior's bound fails."""
 
     max_positives: int = 100_000
     shapes: int = 128
@@ -183,7 +183,11 @@ def feature_table(docs: DataFrame, labels: DataFrame, spec: ClassifierSpec = Cla
     """(doc_id, x, half, positive) of every row: features as float32 bytes; half is null for rows that may not teach."""
     spark = docs.sparkSession
     usable = labels.filter((fold_of(F.col("doc_id"), spec.folds) != spec.held_out_fold) & (F.col("quality") == 1))
-    chosen = usable.select(F.col("doc_id").cast("long").alias("label_id")).distinct().orderBy(F.xxhash64("label_id"), "label_id").limit(spec.max_positives).withColumn("positive", F.lit(True))
+    chosen = usable.select(F.col("doc_id").cast("long").alias("label_id")).distinct()
+    n = chosen.count()
+    if n > spec.max_positives:
+        chosen = chosen.filter(F.pmod(F.xxhash64("label_id"), F.lit(n)) < spec.max_positives)
+    chosen = chosen.withColumn("positive", F.lit(True))
     held = F.coalesce(fold_of(F.col("doc_id"), spec.folds) == spec.held_out_fold, F.lit(False))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = base.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", F.when(~held, F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int")).alias("half"), F.coalesce("positive", F.lit(False)).alias("positive"))
