@@ -8,6 +8,7 @@ from corpusloom.llm.decontaminate import contamination
 from corpusloom.llm.license_scan import scan_licenses
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.phrases import collocations
 from corpusloom.llm.quality_classifier import classify
 from corpusloom.llm.quality_rules import judge
 from corpusloom.llm.simhash import near_duplicates
@@ -168,6 +169,37 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
 from docs d left join places using (doc_id) left join items using (doc_id)
 """
 
+
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents
+), worded as (
+  select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from pieces
+), f as (
+  select lang, m, array_to_string(w[s:s + m - 1], ' ') as phrase, count(*) as f from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as s from worded, (values (1), (2), (3)) t(m)) group by all
+), frequent as (
+  select * from f where f >= 10
+), totals as (
+  select lang, cast(sum(f) as bigint) as n from f where m = 1 group by lang
+), cuts as (
+  select lang, m, phrase, f as a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') as p1, array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') as p2 from (select *, unnest(range(1, m)) as k from frequent where m > 1)
+), scored as (
+  select c.*, x.f as l, y.f as r, cast((1000000::hugeint * a * a) // (x.f::hugeint * y.f) as bigint) as score from cuts c join frequent x on x.lang = c.lang and x.phrase = p1 join frequent y on y.lang = c.lang and y.phrase = p2
+), worst as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), covers as (
+  select lang, inner_, max(f) as longer from (select lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) as inner_ from frequent where m = 3) group by all
+), kept as (
+  select w.* from worst w left join covers v on v.lang = w.lang and v.inner_ = w.phrase where v.longer is null or 100 * v.longer < 50 * w.a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept join totals using (lang)
+qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -179,5 +211,6 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_packing": op9_packing,
     "op10_winnowing": op10_winnowing,
+    "op11_phrases": op11_phrases,
 }
-ORACLES = {"op1_url_filter": OP1_SQL.strip(), "op6_warc": OP6_SQL.strip(), "op7_line_dedup": OP7_SQL.strip(), "op10_winnowing": OP10_SQL.strip()}
+ORACLES = {"op1_url_filter": OP1_SQL.strip(), "op6_warc": OP6_SQL.strip(), "op7_line_dedup": OP7_SQL.strip(), "op10_winnowing": OP10_SQL.strip(), "op11_phrases": OP11_SQL.strip()}
