@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm.decontaminate import contamination
+from corpusloom.llm.hard_negatives import hard_negatives
 from corpusloom.llm.license_scan import scan_licenses
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack_documents
@@ -200,6 +201,28 @@ select lang, row_number() over (partition by lang order by score desc, a desc, p
 qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
 """
 
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(found.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), met as (
+  select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positives as (
+  select anchor_id, other as positive_id, score as positive_score from met where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5
+)
+select p.anchor_id, positive_id, cast(row_number() over w as integer) as rank, other as negative_id, positive_score, score as negative_score
+from positives p join met m on m.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by p.anchor_id, positive_id order by score desc, other)
+qualify row_number() over w <= 10
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -212,5 +235,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_winnowing": op10_winnowing,
     "op11_phrases": op11_phrases,
+    "op12_hard_negatives": op12_hard_negatives,
 }
-ORACLES = {"op1_url_filter": OP1_SQL.strip(), "op6_warc": OP6_SQL.strip(), "op7_line_dedup": OP7_SQL.strip(), "op10_winnowing": OP10_SQL.strip(), "op11_phrases": OP11_SQL.strip()}
+ORACLES = {"op1_url_filter": OP1_SQL.strip(), "op6_warc": OP6_SQL.strip(), "op7_line_dedup": OP7_SQL.strip(), "op10_winnowing": OP10_SQL.strip(), "op11_phrases": OP11_SQL.strip(), "op12_hard_negatives": OP12_SQL.strip()}
