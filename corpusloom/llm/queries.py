@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm.decontaminate import contamination
 from corpusloom.llm.hard_negatives import hard_negatives
+from corpusloom.llm.languages import identify_languages
 from corpusloom.llm.license_scan import scan_licenses
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack_documents
@@ -223,6 +224,11 @@ window w as (partition by p.anchor_id, positive_id order by score desc, other)
 qualify row_number() over w <= 10
 """
 
+
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -236,5 +242,6 @@ QUERIES = {
     "op10_winnowing": op10_winnowing,
     "op11_phrases": op11_phrases,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_languages": op13_languages,
 }
 ORACLES = {"op1_url_filter": OP1_SQL.strip(), "op6_warc": OP6_SQL.strip(), "op7_line_dedup": OP7_SQL.strip(), "op10_winnowing": OP10_SQL.strip(), "op11_phrases": OP11_SQL.strip(), "op12_hard_negatives": OP12_SQL.strip()}
