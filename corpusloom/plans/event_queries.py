@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.plans.registry import Catalogue, table
-from corpusloom.streaming import streams
+from corpusloom.streaming import stateful, streams
 
 QUERIES = Catalogue()
 
@@ -70,3 +70,56 @@ select client, start, n, greatest(n - 3, 0) as refused from (select substr(sha25
 def client_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of a client in fixed windows, and how many of them the limit of three refuses."""
     return streams.rate_limited(table(spark, sf_dir, "events"), "user_id", "1 hour", 3)
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table read as a stream: its files as they are, all that is there now."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern may match one file or a folder of files
+
+
+def _strikes(events: DataFrame) -> DataFrame:
+    return events.select("user_id", "ts", F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("strike"))
+
+
+@QUERIES.add("""
+with final as (select * from events where epoch_us(ts) <= (select max(epoch_us(ts)) // 1000 * 1000 from events))
+select user_id, event_id as id, coalesce(sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by epoch_us(ts) range between 86400000000 preceding and current row), 0)::bigint as n,
+  n >= 2 as locked from final
+""")
+def lockout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream with keyed state: the user's errors of the last day at each event, and whether two or more lock the user out; what the watermark has passed."""
+    return stateful.run_stream(stateful.lockouts(_strikes(_stream(spark, sf_dir, "events")), "user_id", 86_400, 2))
+
+
+WRITES_SQL = """
+writes as (select user_id, epoch_us(ts) as t, event_id as seq, case event_type when 'logout' then 'clear' when 'error' then 'summary' else 'append' end as op, event_type as role, props as text from events where user_id is not null and ts is not null),
+bound as (select {until} as until from writes),
+fresh as (select *, case when lag(t) over w is null or lag(op) over w = 'clear' or t - lag(t) over w >= 7200000000 then 1 else 0 end as fresh from writes, bound where t <= until window w as (partition by user_id order by t, seq)),
+numbered as (select *, sum(fresh) over (partition by user_id order by t, seq) as session from fresh),
+met as (select user_id, session, min(t) as start, max(t) as last, bool_or(op = 'clear') as cleared, count(*) filter (where op = 'append') as writes, count(*) filter (where op <> 'clear') as n_some, max(until) as until,
+  arg_max(text, (t, seq)) filter (where op = 'summary') as summary, list(role || ' ' || text order by t, seq) filter (where op = 'append') as turns from numbered group by user_id, session)
+select user_id, start, ended, case when cleared then 'cleared' else 'expired' end as reason, writes, summary, array_to_string(coalesce(turns, [])[greatest(1, len(coalesce(turns, [])) - 3):], '; ') as turns
+from (select *, case when cleared then last else last + 7200000000 end as ended from met) where n_some > 0 and ended <= until
+"""
+
+
+def _writes(events: DataFrame) -> DataFrame:
+    op = F.when(F.col("event_type") == "logout", "clear").when(F.col("event_type") == "error", "summary").otherwise("append")
+    return events.select("user_id", "ts", F.col("event_id").alias("seq"), op.alias("op"), F.col("event_type").alias("role"), F.col("props").alias("text"))
+
+
+def _shown(sessions: DataFrame) -> DataFrame:
+    return sessions.withColumn("turns", F.array_join(F.transform("turns", lambda x: F.concat_ws(" ", x["role"], x["text"])), "; "))
+
+
+@QUERIES.add("with " + WRITES_SQL.format(until="max(t) // 1000 * 1000"))
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of writes to sessions of two hours, which each write renews; sessions that the watermark has ended, with their last four turns."""
+    return _shown(stateful.run_stream(stateful.renewed_sessions(_writes(_stream(spark, sf_dir, "events")), "user_id", 7_200, 4)))
+
+
+@QUERIES.add("with " + WRITES_SQL.format(until="max(t)"))
+def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sessions by replaying the whole table."""
+    return _shown(stateful.renewed_sessions(_writes(table(spark, sf_dir, "events")), "user_id", 7_200, 4))
