@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.workspace import arrow_map, cut, fresh_dir, slices
+from corpusloom.llm.workspace import arrow_map, cut, file_system, fresh_dir, slices
 
 
 @dataclass(frozen=True)
@@ -244,6 +244,8 @@ def frequent_phrases(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> tuple[
         if n < spec.max_words:
             buckets = _bitmap(seen.filter("kind = 'bucket'"), spec, spec.min_count)
             frequent = _members(held, n, spec)
+        fs, there = file_system(path)
+        fs.delete_dir(there)  # what the pass gave is in its counts and bitmaps
     found = levels[0]
     for more in levels[1:]:
         found = found.unionByName(more)
