@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions import patterns as P, text as X
 from corpusloom.operators import retrieval as R, similarity as S
+from corpusloom.operators.keyword_index import KeywordIndex
 from corpusloom.plans.registry import Catalogue, table
-from corpusloom.session import cut
+from corpusloom.session import cut, fresh_dir
 from corpusloom.plans.text_queries import SQL_TOKENS
 
 QUERIES = Catalogue()
@@ -74,6 +75,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, TOP).select("query_id", "doc_id", "rank", F.round(F.col("score") / (best + 1e-9), 4).alias("relevance"))
 
 
+@QUERIES.add(f"with {BM25_SQL} select query_id, doc_id, round(score, 4) as score, rank from bm25 where rank <= {TOP}")
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of bm25_topk from a stored index that was filled by two inserts, the second of which finds most documents there."""
+    docs = R.tokenized(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "doc_id")
+    index = KeywordIndex(spark, fresh_dir(spark, "keywords"))
+    index.insert(docs.filter("doc_id % 10 <> 3"))
+    index.insert(docs)
+    return index.search(R.tokenized(table(spark, sf_dir, "benchmark"), "item_id", "query_id"), TOP).withColumn("score", F.round("score", 4))
+
+
 @QUERIES.add("""
 with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)
 select query_id, vec_id, score, 1 - score as distance, rank from (

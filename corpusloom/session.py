@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name that the driver and all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or local_dir(spark)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as the session has cores: a file of one row group would be one task's work.
 

@@ -14,7 +14,6 @@ strikes without an id, take no part.  Keyed state needs the RocksDB state store,
 
 from __future__ import annotations
 
-import uuid
 from collections import deque
 from collections.abc import Iterator
 from itertools import groupby
@@ -23,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from corpusloom.session import local_dir
+from corpusloom.session import fresh_dir
 from corpusloom.shipping import ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -232,9 +231,7 @@ def renewed_sessions(rows: DataFrame, key: str, ttl: int, keep: int, late: str |
 def run_stream(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote; with the same path and checkpoint it goes on where it ended."""
     spark: SparkSession = stream.sparkSession
-    if path is None:
-        base = (spark.conf.get("spark.checkpoint.dir", None) or local_dir(spark)).rstrip("/")
-        path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = path or fresh_dir(spark, "stream")
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, ROCKSDB)
