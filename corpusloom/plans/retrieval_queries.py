@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corpusloom.functions import patterns as P, text as X
 from corpusloom.operators import retrieval as R, similarity as S
 from corpusloom.operators.keyword_index import KeywordIndex
+from corpusloom.operators.vector_index import VectorIndex
 from corpusloom.plans.registry import Catalogue, table
 from corpusloom.session import cut, fresh_dir
 from corpusloom.plans.text_queries import SQL_TOKENS
@@ -75,14 +76,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, TOP).select("query_id", "doc_id", "rank", F.round(F.col("score") / (best + 1e-9), 4).alias("relevance"))
 
 
-@QUERIES.add(f"with {BM25_SQL} select query_id, doc_id, round(score, 4) as score, rank from bm25 where rank <= {TOP}")
+@QUERIES.add(f"with {BM25_SQL} select query_id, doc_id, rank, round(score / (max(score) over (partition by query_id) + 1e-9), 4) as relevance from bm25 where rank <= {TOP}")
 def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of bm25_topk from a stored index that was filled by two inserts, the second of which finds most documents there."""
     docs = R.tokenized(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "doc_id")
-    index = KeywordIndex(spark, fresh_dir(spark, "keywords"))
+    index = KeywordIndex(spark, fresh_dir(spark, "keywords"), buckets=16)
     index.insert(docs.filter("doc_id % 10 <> 3"))
     index.insert(docs)
-    return index.search(R.tokenized(table(spark, sf_dir, "benchmark"), "item_id", "query_id"), TOP).withColumn("score", F.round("score", 4))
+    found = index.search(R.tokenized(table(spark, sf_dir, "benchmark"), "item_id", "query_id"), TOP)
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return found.select("query_id", "doc_id", "rank", F.round(F.col("score") / (best + 1e-9), 4).alias("relevance"))
 
 
 @QUERIES.add("""
@@ -96,6 +99,21 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", "score", (1 - F.col("score")).alias("distance"), "rank")
 
 
+@QUERIES.add("""
+with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)
+select query_id, vec_id, score, rank from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) as score from e q, e c where q.vec_id % 20 = 0)) where rank <= 10
+""")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours from a stored index of cells that was filled by two inserts."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select("vec_id", F.col("embedding").alias("v"))
+    index = VectorIndex(spark, fresh_dir(spark, "vectors"))
+    index.insert(rows.filter("vec_id % 10 <> 3"))
+    index.insert(rows)
+    return index.search(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10, exact=True)
+
+
 @QUERIES.add("select count(*) as n, count(distinct len(embedding)) = 1 as consistent, max(len(embedding)) as dimension from embeddings")
 def dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size("embedding")
