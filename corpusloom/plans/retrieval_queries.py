@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions import patterns as P, text as X
 from corpusloom.operators import retrieval as R, similarity as S
+from corpusloom.operators.fragments import fragment_hits
 from corpusloom.operators.keyword_index import KeywordIndex
 from corpusloom.operators.vector_index import VectorIndex
 from corpusloom.plans.registry import Catalogue, table
@@ -204,6 +205,32 @@ def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact(spark, sf_dir, 5)
 
 
+MET_SQL = r"""
+met as (select distinct query_id, doc_id from asked join (select doc_id, lower(regexp_replace(text, '\s+', '', 'g')) as hay from documents where text is not null) on contains(hay, form) where length(form) >= 2)
+select query_id, doc_id, row_number() over (partition by query_id order by doc_id) as rank from met qualify row_number() over (partition by query_id order by doc_id) <= 5
+"""
+
+
+@QUERIES.add(rf"""
+with raw as (select doc_id as query_id, unnest(list_transform(regexp_extract_all(text, '{P.FORMULA_FRAGMENT}'), lambda x: trim(trim(x, '$ ')))) as fragment from documents where doc_id % 20 = 0),
+asked as (select distinct query_id, lower(regexp_replace(fragment, '\s+', '', 'g')) as form from raw), {MET_SQL}
+""")
+def fragment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formulas of every 20th text looked up in all texts."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode(X.formula_fragments(F.col("text"))).alias("fragment"))
+    return fragment_hits(asked, docs, 5)
+
+
+@QUERIES.add(rf"""
+with asked as (select distinct item_id as query_id, lower(regexp_replace(unnest(regexp_split_to_array(text, '[.!?\n]')), '\s+', '', 'g')) as form from benchmark), {MET_SQL}
+""")
+def sentence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of all of benchmark looked up in all texts."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", r"[.!?\n]", -1)).alias("fragment"))
+    return fragment_hits(asked, table(spark, sf_dir, "documents", ["doc_id", "text"]), 5)
+
+
 @QUERIES.add(f"""
 with x as ({EXACT_SQL}), r as (select doc_id % 4 as query_id, doc_id, row_number() over (partition by doc_id % 4 order by n_chars desc, doc_id) as rank from documents qualify rank <= 8)
 select query_id, doc_id, tier = 0 as exact, row_number() over (partition by query_id order by tier, rank, doc_id) as rank from
