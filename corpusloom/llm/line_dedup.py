@@ -111,7 +111,7 @@ class LineIndex:
         log = self._log()
         if of is not None:
             log = log.join(of, "key", "left_semi")
-        if len(self.parts) == 1:
+        if len(self.parts) == 1:  # one insert's rows, each key and id once
             return log.select("key", "doc_id", F.col("delta").alias("n"))
         return log.groupBy("key", "doc_id").agg(F.sum("delta").alias("n")).filter("n > 0")
 
@@ -146,6 +146,10 @@ class LineIndex:
         """Append to the log, count the changed keys anew, and carry those that crossed the limit into the filters."""
         first = not self.parts
         rows = _keys(docs.filter("doc_id is not null"), self.spec).groupBy("key", "doc_id").agg((F.count("*") * delta).alias("delta"))
+        if delta < 0:  # only what is held can be taken back, so that no count falls below zero
+            rows = cut(rows)
+            held = self.references(rows.select("key").distinct())
+            rows = rows.join(held, ["key", "doc_id"]).select("key", "doc_id", F.greatest("delta", -F.col("n")).alias("delta"))
         self.parts.append(self._write(rows))
         if first or self._counts is None:
             self._counts = self._filters = None
@@ -198,7 +202,7 @@ class LineIndex:
         return self
 
     def delete(self, docs: DataFrame) -> "LineIndex":
-        """Take back rows that were inserted with these ids and texts."""
+        """Take back rows that were inserted with these ids and texts; what is not held changes nothing, as before any insert."""
         self._changed(docs, -1)
         return self
 
