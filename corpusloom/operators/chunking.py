@@ -64,11 +64,16 @@ def split_text(text: str, size: int, overlap: int) -> list[str]:
 
     A formula or table over `size` is a piece of its own.  Each piece but the
     first repeats the end of the one before, up to `overlap` characters of whole
-    parts, and begins with the text's heading lines if it has any.  A text of at
-    most `size` is one piece; a blank one is none.
+    parts, and begins with the text's heading lines if it has any and they leave
+    room: pieces are cut that much shorter, and headings of over half of `size`
+    are not repeated.  A text of at most `size` is one piece; a blank one is none.
     """
     if len(text) <= size:
         return [text] if text.strip() else []
+    heading = found[0] if (found := _HEADING.match(text)) else ""
+    if 2 * len(heading) > size:
+        heading = ""
+    size -= len(heading)
 
     def parts(t: str, level: int) -> list[str]:
         if len(t) <= size:
@@ -90,7 +95,6 @@ def split_text(text: str, size: int, overlap: int) -> list[str]:
         if b > a:
             atoms.append(text[a:b])
         at = b
-    heading = found[0] if (found := _HEADING.match(text)) else ""
     pieces: list[list[str]] = [[]]
     n = 0
     for x in atoms:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import ontology as O, text as X
@@ -20,6 +21,13 @@ def upsert_entities(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min_by("name", "seq").alias("name"), F.min_by("type", "seq").alias("type"), F.array_sort(F.collect_set("name")).alias("aliases"))
 
 
+def merged_entities(rows: DataFrame) -> DataFrame:
+    """Rows (key, name, type, seq, aliases) of one key as one: name, type and seq of the first, all aliases; merging again changes nothing."""
+    first = F.min(F.struct("seq", "name", "type"))
+    one = rows.groupBy("key").agg(first.alias("x"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("aliases"))
+    return one.select("key", "x.name", "x.type", "x.seq", "aliases")
+
+
 def upsert_relations(rows: DataFrame) -> DataFrame:
     """(src, name, dst, confidence, provenance) from rows(src, name, dst, confidence, provenance, seq): the highest confidence, the first provenance."""
     return rows.groupBy("src", "name", "dst").agg(F.max("confidence").alias("confidence"), F.min_by("provenance", "seq").alias("provenance"))
@@ -193,23 +201,76 @@ def entity_clusters(items: DataFrame, least: float = 0.92, block: int = 2_000) -
     return leader_clusters(items.select("id"), met)
 
 
-def leader_clusters(items: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def leader_clusters(items: DataFrame, pairs: DataFrame, edges_per_range: int = 1_000_000) -> DataFrame:
     """(id, leader) by greedy leaders in the order of ids, from pairs(a, b) with a < b of items alike enough and of one type.
 
-    An item joins the least leader that it is paired with, or leads itself; it
-    is settled once no earlier, still open item could come before that leader.
-    Every round is two joins on ids and one combined aggregation, cut by a
-    checkpoint; rounds are as many as the longest chain of open items.
+    An item joins the least leader that it is paired with, or leads itself; it is
+    settled once no earlier, still open item could come before that leader.  Every
+    round range-sorts the open pairs by their later item, and each range settles in
+    order all that does not wait for an earlier range, however long the chain; the
+    first range settles whole.  Ranges are as few as the open pairs allow, so a rest
+    of up to `edges_per_range` pairs takes one round.  A task remembers the items
+    that its range has settled.
     """
     from corpusloom.session import cut
 
-    state = cut(items.select("id", F.lit(None).cast(dict(items.dtypes)["id"]).alias("leader")).distinct())
-    for _ in range(max_rounds):
-        if state.filter("leader is null").isEmpty():
-            return state
-        seen = pairs.join(state.select(F.col("id").alias("a"), F.col("leader").alias("of")), "a")
-        facts = seen.groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("of") == F.col("a"), F.col("a"))).alias("first"), F.min(F.when(F.col("of").isNull(), F.col("a"))).alias("open"))
-        joined = state.join(facts, "id", "left")
-        settled = F.when(F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("open") > F.col("first"))), F.col("first")).when(F.col("first").isNull() & F.col("open").isNull(), F.col("id"))
-        state = cut(joined.select("id", F.coalesce("leader", settled).alias("leader")))
-    raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
+    kind = dict(items.dtypes)["id"]
+    ship(items.sparkSession)
+    ids = cut(items.select("id").distinct())
+    open_ = cut(pairs.select(F.col("b").alias("id"), F.col("a"), F.lit(None).cast(kind).alias("of")))
+    alone = ids.join(open_.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("leader"))
+    done = [cut(alone)]
+    open_ = _seen(open_, done[0])
+    while n := open_.count():
+        ranges = -(-n // edges_per_range)
+        ordered = open_.repartitionByRange(ranges, "id").sortWithinPartitions("id", "a")
+        settled = cut(ordered.mapInArrow(_settle, f"id {kind}, leader {kind}"))
+        done.append(settled)
+        open_ = _seen(open_.join(settled.select("id"), "id", "left_anti"), settled)
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _seen(open_: DataFrame, settled: DataFrame) -> DataFrame:
+    """open_(id, a, of) with the leaders that settled(id, leader) brings for a."""
+    from corpusloom.session import cut
+
+    new = settled.select(F.col("id").alias("a"), F.col("leader").alias("new"))
+    return cut(open_.join(new, "a", "left").select("id", "a", F.coalesce("of", "new").alias("of")))
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, leader) of the items that can be settled, from rows (id, a, of) in the order of id and a; a task's range of ids is whole."""
+    own: dict = {}  # what this range has settled
+    at = first = None
+    blocked, kind, names = False, None, ["id", "leader"]
+
+    def close(out: list) -> None:
+        if at is not None and not blocked:
+            own[at] = at if first is None else first
+            out.append((at, own[at]))
+
+    def rows(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x in zip(*out, strict=True)], names=names)
+
+    for batch in batches:
+        kind, out = batch.column(0).type, []
+        for i, a, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if i != at:
+                close(out)
+                at, first, blocked = i, None, False
+            if first is not None or blocked:
+                continue  # an earlier partner has decided
+            of = own.get(a) if of is None else of
+            if of is None:
+                blocked = True  # a could yet lead, and would come first
+            elif of == a:
+                first = a
+        if out:
+            yield rows(out)
+    out = []
+    close(out)
+    if out:
+        yield rows(out)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions import patterns as P, text as X
 from corpusloom.operators import conversation as C
+from corpusloom.operators.replay import replay
 from corpusloom.plans.registry import Catalogue, table
 from corpusloom.plans.text_queries import sql_values, values
 
@@ -65,15 +66,35 @@ def conv_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(t.filter("role = 'system'").select("conv_id").distinct(), "conv_id", "left_anti").groupBy("conv_id").agg(F.count("*").alias("messages"))
 
 
-@QUERIES.add(f"""
-select conv_id, turn, len(ws) > 0 and prior is not null and (list_has_any(ws, ['{"', '".join(P.PRONOUNS)}']) or {" or ".join(f"contains(low, '{o}')" for o in P.OPENERS)} or (len(ws) <= 6 and not regexp_matches(text, '(?:^|[^A-Za-z0-9_])[A-Z][A-Za-z0-9-]+'))) as followup
-from (select *, lower(trim(text)) as low, regexp_extract_all(lower(trim(text)), '[a-z'']+') as ws, lag(text) over (partition by conv_id order by turn) as prior from conversations)
-""")
+FOLLOWUP_SQL = f"""select conv_id, turn, len(ws) > 0 and prior is not null and (list_has_any(ws, ['{"', '".join(P.PRONOUNS)}']) or {" or ".join(f"contains(low, '{o}')" for o in P.OPENERS)} or (len(ws) <= 6 and not regexp_matches(text, '(?:^|[^A-Za-z0-9_])[A-Z][A-Za-z0-9-]+'))) as followup
+from (select *, lower(trim(text)) as low, regexp_extract_all(lower(trim(text)), '[a-z'']+') as ws, lag(text) over (partition by conv_id order by turn) as prior from conversations)"""
+
+
+@QUERIES.add(FOLLOWUP_SQL)
 def followup_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     prior = F.coalesce(F.lag(F.lit("x")).over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
     return table(spark, sf_dir, "conversations").withColumn("prior", prior).select("conv_id", "turn", C.is_followup(F.col("text"), F.col("prior")).alias("followup"))
 
 
+@QUERIES.add(f"""
+with f as ({FOLLOWUP_SQL}), t as (select conv_id, turn, coalesce(text, '') as text, coalesce(followup, false) as followup from conversations join f using (conv_id, turn))
+select conv_id, turn, cast(null as varchar) as error, case when followup then trim(coalesce(last_value(case when not followup then text end ignore nulls) over w, '') || ' ' || text) else text end as search, cast(count(*) over (partition by conv_id order by turn) as bigint) as said
+from t window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)
+""")
+def turn_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations replayed: a follow-up is searched with the last question that stood by itself, which is carried along."""
+    t = table(spark, sf_dir, "conversations")
+    before = F.coalesce(F.lag(F.lit("x")).over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    flagged = t.withColumn("followup", F.coalesce(C.is_followup(F.col("text"), before), F.lit(False))).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), "followup")
+
+    def step(state: tuple[str, int], row: dict) -> tuple[tuple[str, int], dict]:
+        last, said = state
+        search = f"{last} {row['text']}".strip(" ") if row["followup"] else row["text"]
+        return (last if row["followup"] else row["text"], said + 1), {"search": search, "said": said + 1}
+
+    return replay(flagged, lambda: ("", 0), step, "search string, said long")
+
+
 @QUERIES.add(r"""
 select conv_id, case when t = '' then 'New chat' else t end as title from (select conv_id, trim(substr(array_to_string(string_split(regexp_replace(regexp_replace(trim(trim(regexp_extract(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^[^\n]*'), '"''')), '\s+', ' ', 'g'), '[.!?,:;]+$', ''), ' ')[1:8], ' '), 1, 60)) as t
   from (select conv_id, arg_min(text, turn) as text from conversations where role = 'user' group by conv_id))

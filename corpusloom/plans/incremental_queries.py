@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom.functions import ontology as O
 from corpusloom.operators import graph as G, incremental as I
+from corpusloom.operators.similarity import centroid
 from corpusloom.plans.registry import Catalogue, table
 from corpusloom.plans.text_queries import sql_values, values
+from corpusloom.session import fresh_dir
+from corpusloom.sources.artefacts import artefact, table_print
+from corpusloom.sources.csv_files import csv_documents
+from corpusloom.sources.keyed import KeyedTable
 
 QUERIES = Catalogue()
 
@@ -89,3 +95,39 @@ select n, sha256(concat_ws('|', cast(n as varchar), cast(s0 as varchar), cast(s1
 """)
 def golden_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.order_free_checksum(table(spark, sf_dir, "benchmark"), F.concat_ws("|", F.col("item_id").cast("string"), "text"))
+
+
+@QUERIES.add("""
+select key, arg_min(name, seq) as name, arg_min(type, seq) as type, array_to_string(list_sort(list(distinct name)), ',') as aliases from (
+  select lower(replace(replace(n_name, ' ', ''), '-', '')) as key, n_name as name, 'Location' as type, n_nationkey as seq from nation
+  union all select lower(replace(replace(n_name, ' ', ''), '-', '')), lower(n_name), 'Concept', 1000 + c_custkey from customer join nation on c_nationkey = n_nationkey) group by key
+""")
+def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities merged into a table of unique keys, the second batch twice: only buckets that change are written again."""
+    n = table(spark, sf_dir, "nation")
+    first = n.select("n_name", F.col("n_name").alias("name"), F.lit("Location").alias("type"), F.col("n_nationkey").cast("long").alias("seq"))
+    later = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.lower("n_name").alias("name"), F.lit("Concept").alias("type"), (F.col("c_custkey") + 1000).alias("seq"))
+    held = KeyedTable(spark, fresh_dir(spark, "entities"), "key string, name string, type string, seq long, aliases array<string>", ["key"], 16)
+    for batch in (first, later, later):
+        held.merge(batch.withColumn("key", O.canonical_key(F.col("n_name"))).withColumn("aliases", F.array("name")), G.merged_entities)
+    held.check()
+    return held.rows().select("key", "name", "type", F.array_join("aliases", ",").alias("aliases"))
+
+
+@QUERIES.add("""
+select i, round(avg(x), 6) as mean from (select unnest(range(1, len(embedding) + 1)) as i, unnest(embedding) as x from embeddings where label = 1) group by i
+""")
+def centroid_artefact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean vector of a label, kept under a name made from the rows it was computed from; the second call loads it."""
+    root, rows = fresh_dir(spark, "artefacts"), table(spark, sf_dir, "embeddings").filter("label = 1").select("vec_id", "embedding")
+    for _ in range(2):
+        found = artefact(spark, root, "centroid", ["mean", table_print(rows)], lambda: centroid(rows, "embedding"))
+    return found.select(F.posexplode("centroid").alias("i", "mean")).select((F.col("i") + 1).cast("long").alias("i"), F.round("mean", 6).alias("mean"))
+
+
+@QUERIES.add("select 's_suppkey: ' || s_suppkey || chr(10) || 's_name: ' || s_name as text, cast(null as varchar) as error from supplier")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as CSV files and read back as one document a row."""
+    folder = fresh_dir(spark, "csv")
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").write.option("header", "true").csv(folder)
+    return csv_documents(spark, folder).select("text", "error")

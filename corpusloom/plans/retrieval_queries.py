@@ -13,6 +13,7 @@ from corpusloom.functions import patterns as P, text as X
 from corpusloom.operators import retrieval as R, similarity as S
 from corpusloom.operators.fragments import fragment_hits
 from corpusloom.operators.keyword_index import KeywordIndex
+from corpusloom.operators.rounds import retrieve_until
 from corpusloom.operators.vector_index import VectorIndex
 from corpusloom.plans.registry import Catalogue, table
 from corpusloom.session import cut, fresh_dir
@@ -89,6 +90,29 @@ def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "rank", F.round(F.col("score") / (best + 1e-9), 4).alias("relevance"))
 
 
+@QUERIES.add()
+def iterative_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of benchmark answered in three rounds at most from a stored keyword index; the reader, a rule in place of a model, wants passages from enough sources and asks for the longest words of the last one."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    index = KeywordIndex(spark, fresh_dir(spark, "keywords"), buckets=16)
+    index.insert(R.tokenized(docs, "doc_id", "doc_id"))
+
+    def retrieve(asked: DataFrame) -> DataFrame:
+        hits = index.search(asked.select("query_id", X.tokens(F.col("text")).alias("tokens")), 2)
+        return hits.join(docs, "doc_id").select("query_id", "rank", F.concat(F.lit("["), "source", F.lit("] "), F.substring_index("text", "\n", 1)).alias("passage"))
+
+    return retrieve_until(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), retrieve, source_reader)
+
+
+def source_reader(asked: DataFrame) -> DataFrame:
+    """(query_id, answer): the sources of the context if they are 2 to 4, as the id wants, else a wish for the two longest words of its last line."""
+    sources = F.array_sort(F.array_distinct(F.regexp_extract_all("context", F.lit(r"(?m)^\[(\w+)\]"), 1)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.element_at(F.split("context", "\n", -1), -1)), F.lit("[a-z]+"), 0))
+    longest = F.transform(F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2), lambda x: x["w"])
+    enough = F.size(sources) >= 2 + F.col("query_id") % 3
+    return asked.select("query_id", F.when(enough, F.concat(F.lit("From "), F.array_join(sources, ", "))).otherwise(F.concat(F.lit("NEED_MORE: "), F.array_join(longest, ", "))).alias("answer"))
+
+
 @QUERIES.add("""
 with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)
 select query_id, vec_id, score, 1 - score as distance, rank from (
@@ -278,14 +302,12 @@ def hybrid_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @QUERIES.add("""
-select c.conv_id, c.turn, string_agg(s.turn || ':' || left(s.text, 20), chr(10) order by s.turn) as parent, count(*) as siblings
-from conversations c join conversations s on s.conv_id = c.conv_id group by c.conv_id, c.turn
+select conv_id, turn, parent, siblings from conversations join (select conv_id, string_agg(turn || ':' || text, chr(10) order by turn, text) as parent, count(*) as siblings from conversations group by conv_id) using (conv_id)
 """)
 def parent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with the whole texts of its siblings."""
     t = table(spark, sf_dir, "conversations")
-    whole = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("s")))).alias("parts"))
-    parent = whole.select("conv_id", F.array_join(F.transform("parts", lambda x: F.concat(x["turn"].cast("string"), F.lit(":"), x["s"])), "\n").alias("parent"), F.size("parts").cast("long").alias("siblings"))
-    return t.select("conv_id", "turn").join(parent, "conv_id")
+    return t.select("conv_id", "turn").join(R.whole_parents(t), "conv_id")
 
 
 @QUERIES.add("""
@@ -294,7 +316,7 @@ select conv_id, turn, parent_sha256, parent_chars, siblings from conversations j
   from conversations group by conv_id) using (conv_id)
 """)
 def parent_expand_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole texts of a turn's siblings, built once a conversation and returned as hash and length; parent_expand joins their first 20 characters."""
+    """The whole texts of a turn's siblings, built once a conversation and returned as hash and length."""
     t = table(spark, sf_dir, "conversations")
     return t.select("conv_id", "turn").join(R.parents(t), "conv_id")
 

@@ -31,7 +31,7 @@ def check(text, size, overlap):
         assert text[end:start].strip() == ""  # nothing but blanks is lost between pieces
         for a, b in spans:
             assert not a < start < b and not a < start + len(body) < b
-        assert len(body) <= size + len(heading) or any(b - a > size for a, b in spans)
+        assert len(piece) <= size or any(b - a > size for a, b in spans)
         at, end = start, start + len(body)
     assert text[end:].strip() == "" and at >= 0
 
@@ -58,3 +58,11 @@ def test_documents_with_one_opening_have_their_own_parents(spark):
     found = recursive_split(spark.createDataFrame(rows, "doc_id long, text string"), "text", 600, 50).collect()
     assert len({r["parent_id"] for r in found if r["doc_id"] < 3}) == 3
     assert [r["chunk"] for r in found if r["doc_id"] == 10] == ["short"] and not [r for r in found if r["doc_id"] in (8, 9)]
+
+
+def test_a_long_heading_leaves_room():
+    for n in (150, 300):
+        text = "# " + "h" * (n - 3) + "\n" + "some words of the text. " * 200
+        pieces = split_text(text, 400, 40)
+        assert max(map(len, pieces)) <= 400 and "".join(pieces).count("some words") >= 200
+        assert all(p.startswith("# h") for p in pieces) == (n == 150)
