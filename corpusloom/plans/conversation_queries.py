@@ -8,7 +8,7 @@ from corpusloom.functions import patterns as P, text as X
 from corpusloom.operators import conversation as C
 from corpusloom.operators.replay import replay
 from corpusloom.plans.registry import Catalogue, table
-from corpusloom.plans.text_queries import sql_values, values
+from corpusloom.plans.text_queries import made, sql_made, sql_values, values
 
 QUERIES = Catalogue()
 
@@ -105,13 +105,14 @@ def title_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTEXTS = [(1, "aaa", "bbb"), (2, "aaa bbb", "bbb"), (3, "", "x"), (4, "x" * 30, "y" * 30)]
+CONTEXTS_SQL = "select 100 + conv_id * 1000 + turn, text, case when turn % 2 = 0 then text else role end from conversations"
 
 
-@QUERIES.add(f"select id, substr(case when contains(old, new) then old when old = '' then new else old || chr(10) || new end, 1, 40) as merged from {sql_values(CONTEXTS, 'id, old, new')}")
+@QUERIES.add(f"select id, substr(case when contains(old, new) then old when old = '' then new else old || chr(10) || new end, 1, 40) as merged from {sql_made(CONTEXTS_SQL, CONTEXTS, 'id, old, new')}")
 def context_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = F.col("old"), F.col("new")
     merged = F.when(old.contains(new), old).when(old == "", new).otherwise(F.concat(old, F.lit("\n"), new))
-    return values(spark, CONTEXTS, "id int, old string, new string").select("id", F.substring(merged, 1, 40).alias("merged"))
+    return made(spark, sf_dir, CONTEXTS_SQL, CONTEXTS, "id long, old string, new string").select("id", F.substring(merged, 1, 40).alias("merged"))
 
 
 @QUERIES.add("""

@@ -8,7 +8,7 @@ from corpusloom.functions import patterns as P, text as X
 from corpusloom.operators import evaluation as E
 from corpusloom.plans.guard_queries import SQL_NUMS
 from corpusloom.plans.registry import Catalogue, table
-from corpusloom.plans.text_queries import SQL_QUALITY, sql_values, values
+from corpusloom.plans.text_queries import SQL_QUALITY, made, sql_made, sql_values, values
 
 QUERIES = Catalogue()
 JUDGED_SQL = f"judged as (select d.doc_id, d.lang, d.n_chars, l.quality = 1 as answerable, d.reason <> 'ok' as refused, l.toxic from ({SQL_QUALITY.replace('{source}', 'documents')}) d join labels l using (doc_id))"
@@ -46,6 +46,7 @@ def numeric_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FIDELITY = [(1, "It is 360 m wide", "swath 360 km and 2 days"), (2, "360 km and 4.50 kg of 7", "360 km; 4.5 kg"), (3, "INSAT-3D [S1] nothing", "x"), (4, "", "5"), (5, "1,400 km", "1400 km")]
+FIDELITY_SQL = "select 100 + l_orderkey * 10 + l_linenumber, 'It is ' || cast(floor(l_quantity) as int) || ' km and ' || l_linenumber || ' days', cast(floor(l_quantity) as int) || case when l_linenumber % 2 = 0 then ' km' else ' m' end from lineitem"
 _SQL_PAIRS = (
     "list_zip(list_transform(list_transform(regexp_extract_all({0}, '" + E.QUANTITY + "', 1), lambda x: replace(x, ',', '')), lambda x: case when contains(x, '.') then regexp_replace(regexp_replace(x, '0+$', ''), '\\.$', '') else x end), "
     "list_transform(regexp_extract_all({0}, '" + E.QUANTITY + "', 2), lambda u: regexp_replace(lower(coalesce(u, '')), '[^a-z0-9/^]', '', 'g')))"
@@ -55,31 +56,33 @@ _STATE = "case when len(list_filter(known, lambda k: k[1] = q[1])) = 0 then 'unk
 
 @QUERIES.add(f"""
 select id, cast(len(said) as integer) as total, cast(len(list_filter(states, lambda s: s = 'grounded')) as integer) as grounded, cast(len(list_filter(states, lambda s: s = 'swap')) as integer) as unit_swaps
-from (select id, said, list_transform(said, lambda q: {_STATE}) as states from (select id, {_SQL_PAIRS.replace('{0}', 'a')} as said, {_SQL_PAIRS.replace('{0}', 'c')} as known from {sql_values(FIDELITY, 'id, a, c')}))
+from (select id, said, list_transform(said, lambda q: {_STATE}) as states from (select id, {_SQL_PAIRS.replace('{0}', 'a')} as said, {_SQL_PAIRS.replace('{0}', 'c')} as known from {sql_made(FIDELITY_SQL, FIDELITY, 'id, a, c')}))
 """)
 def numeric_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, FIDELITY, "id int, a string, c string")
+    rows = made(spark, sf_dir, FIDELITY_SQL, FIDELITY, "id long, a string, c string")
     return rows.select("id", E.numeric_fidelity(F.col("a"), F.col("c")).alias("f")).select("id", "f.total", "f.grounded", "f.unit_swaps")
 
 
 FORMULAS = [(1, "so $$ \\sigma_0 = 4 $$ holds", "$\\sigma_0=4$"), (2, "so $x$", "$$y$$"), (3, "plain a = b", "a=b"), (4, "anything", "")]
+FORMULAS_SQL = "select 100 + doc_id, text || ' where $ x = ' || doc_id || ' $ holds', case when doc_id % 3 = 0 then '$$x = ' || doc_id || '$$' when doc_id % 3 = 1 then lang else 'y = 1' end from documents"
 _FORM = r"trim(regexp_replace(coalesce(nullif(regexp_extract({0}, '(?s)\$\$(.+?)\$\$', 1), ''), nullif(regexp_extract({0}, '(?s)\$(.+?)\$', 1), ''), {0}), '\s+', '', 'g'), '$')"
 
 
 @QUERIES.add(rf"""
-select id, w = '' or contains(regexp_replace(a, '\s+', '', 'g'), w) or len(list_filter(regexp_extract_all(a, '(?s)\$\$.+?\$\$|\$.+?\$'), lambda s: contains({_FORM.replace('{0}', 's')}, w))) > 0 as ok from (select id, a, {_FORM.replace('{0}', 'e')} as w from {sql_values(FORMULAS, 'id, a, e')})
+select id, w = '' or contains(regexp_replace(a, '\s+', '', 'g'), w) or len(list_filter(regexp_extract_all(a, '(?s)\$\$.+?\$\$|\$.+?\$'), lambda s: contains({_FORM.replace('{0}', 's')}, w))) > 0 as ok from (select id, a, {_FORM.replace('{0}', 'e')} as w from {sql_made(FORMULAS_SQL, FORMULAS, 'id, a, e')})
 """)
 def formula_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, FORMULAS, "id int, a string, e string").select("id", E.formula_fidelity(F.col("a"), F.col("e")).alias("ok"))
+    return made(spark, sf_dir, FORMULAS_SQL, FORMULAS, "id long, a string, e string").select("id", E.formula_fidelity(F.col("a"), F.col("e")).alias("ok"))
 
 
 CITED = [(1, "Fact one is stated here clearly [S1]. Another long fact without any source at all. SOURCES: [S1, S3]", 2), (2, "No citations in this sentence at all.", 1), (3, "[S2] and [S9]", 2), (4, "", 0)]
+CITED_SQL = "select 100 + conv_id * 1000 + turn, text || ' It is so [S' || (turn % 4 + 1) || ']. SOURCES: [S1, S' || (turn % 5 + 1) || ']', 2 from conversations"
 _CITED = "list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(a, '\\[S([0-9]+)\\]', 1), lambda x: 'S' || x), list_filter(list_transform(string_split(regexp_extract(a, '(?i)SOURCES:\\s*\\[([^\\]]*)\\]', 1), ','), lambda x: trim(x)), lambda x: regexp_matches(x, '^S[0-9]+$')))))"
 
 
-@QUERIES.add(f"select id, array_to_string({_CITED}, ',') as cited, array_to_string(list_filter({_CITED}, lambda x: cast(substr(x, 2) as integer) > n), ',') as fabricated, array_to_string(list_filter({_CITED}, lambda x: cast(substr(x, 2) as integer) <= n), ',') as surviving from {sql_values(CITED, 'id, a, n')}")
+@QUERIES.add(f"select id, array_to_string({_CITED}, ',') as cited, array_to_string(list_filter({_CITED}, lambda x: cast(substr(x, 2) as integer) > n), ',') as fabricated, array_to_string(list_filter({_CITED}, lambda x: cast(substr(x, 2) as integer) <= n), ',') as surviving from {sql_made(CITED_SQL, CITED, 'id, a, n')}")
 def citation_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, CITED, "id int, a string, n int").select("id", E.cited(F.col("a")).alias("c"), _valid().alias("v"))
+    rows = made(spark, sf_dir, CITED_SQL, CITED, "id long, a string, n int").select("id", E.cited(F.col("a")).alias("c"), _valid().alias("v"))
     return rows.select("id", F.array_join("c", ",").alias("cited"), F.array_join(F.array_except("c", "v"), ",").alias("fabricated"), F.array_join(F.array_sort(F.array_intersect("c", "v")), ",").alias("surviving"))
 
 
@@ -89,10 +92,10 @@ def _valid():
 
 @QUERIES.add(rf"""
 select id, cast(len({_CITED}) as integer) as cited, cast(len(list_filter({_CITED}, lambda x: cast(substr(x, 2) as integer) > n)) as integer) as fabricated, cast(len(fs) as integer) as factual, cast(len(list_filter(fs, lambda s: not regexp_matches(s, '\[S[0-9]+\]'))) as integer) as uncited
-from (select *, list_filter(string_split(regexp_replace(regexp_replace(a, '{P.SOURCES_FOOTER}', ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 25) as fs from {sql_values(CITED, 'id, a, n')})
+from (select *, list_filter(string_split(regexp_replace(regexp_replace(a, '{P.SOURCES_FOOTER}', ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 25) as fs from {sql_made(CITED_SQL, CITED, 'id, a, n')})
 """)
 def citation_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, CITED, "id int, a string, n int").select("id", E.citation_integrity(F.col("a"), _valid()).alias("c"))
+    rows = made(spark, sf_dir, CITED_SQL, CITED, "id long, a string, n int").select("id", E.citation_integrity(F.col("a"), _valid()).alias("c"))
     return rows.select("id", "c.cited", F.size("c.fabricated").alias("fabricated"), "c.factual", "c.uncited")
 
 
@@ -146,12 +149,13 @@ def scorecard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").rollup("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean")).select(F.coalesce("lang", F.lit("OVERALL")).alias("type"), "n", "mean")
 
 
-METRICS = [("faithfulness", 0.95), ("hallucination_rate", 0.05), ("ce1_grounded_rate", 0.95), ("ce3_fabricated_cite_rate", 0.0), ("judge_kappa", None)]
+METRICS = [("ce3_fabricated_cite_rate", 0.0), ("judge_kappa", None)]
+METRICS_SQL = "select 'faithfulness', round(avg(cast(quality as double)), 6) from labels union all select 'hallucination_rate', round(avg(cast(toxic as double)), 6) from labels union all select 'ce1_grounded_rate', round(avg(case when n_chars > 100 then cast(1 as double) else cast(0 as double) end), 6) from documents"
 
 
-@QUERIES.add(f"select name, metric, cast(value as double) as value, cast(threshold as double) as threshold, case when value is null then 'SKIP' when (direction = 'min' and value >= threshold) or (direction = 'max' and value <= threshold) then 'PASS' else 'FAIL' end as status from {sql_values(E.GATES, 'name, metric, direction, threshold').replace('fixture', 'g')} left join {sql_values(METRICS, 'm, value').replace('fixture', 'f')} on metric = m")
+@QUERIES.add(f"select name, metric, cast(value as double) as value, cast(threshold as double) as threshold, case when value is null then 'SKIP' when (direction = 'min' and value >= threshold) or (direction = 'max' and value <= threshold) then 'PASS' else 'FAIL' end as status from {sql_values(E.GATES, 'name, metric, direction, threshold').replace('fixture', 'g')} left join {sql_made(METRICS_SQL, METRICS, 'm, value').replace('fixture', 'f')} on metric = m")
 def gate_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = E.scorecard(values(spark, METRICS, "metric string, value double"))
+    found = E.scorecard(made(spark, sf_dir, METRICS_SQL, METRICS, "metric string, value double"))
     return found.withColumns({c: F.col(c).cast("double") for c in ("value", "threshold")})
 
 

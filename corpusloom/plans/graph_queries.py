@@ -8,7 +8,7 @@ from corpusloom.functions import ontology as O
 from corpusloom.operators import graph as G
 from corpusloom.operators.retrieval import bm25, tokenized
 from corpusloom.plans.registry import Catalogue, table
-from corpusloom.plans.text_queries import SQL_TOKENS, sql_texts_with, sql_values, texts_with, values
+from corpusloom.plans.text_queries import SQL_TOKENS, made, sql_made, sql_texts_with, sql_values, texts_with, values
 
 QUERIES = Catalogue()
 
@@ -65,39 +65,42 @@ def entity_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VERBS = [("carries",), ("was launched by",), ("is",), ("acquired",), ("Part Of",), ("is equipped with a",), ("PRODUCES",), ("  ",), ("flies over",), ("has",), ("related to",)]
+VERBS_SQL = "select distinct p_type from part"
 PHRASES = [v for v in sorted(O.VERB_TO_RELATION, key=len, reverse=True) if " " in v]
 
 
 @QUERIES.add(f"""
 select verb, case when trim(verb) = '' then null else coalesce({_sql_map(O.VERB_TO_RELATION)}[raw], case {' '.join(f"when contains(raw, '{p}') then '{O.VERB_TO_RELATION[p]}'" for p in PHRASES)}
   when list_contains({_sql_list(O.RELATION_TYPES)}, own) then own when list_contains({_sql_list(O.TRIVIAL)}, own) then null else own end) end as relation
-from (select verb, lower(trim(verb)) as raw, trim(regexp_replace(upper(trim(verb)), '[^A-Za-z0-9_]+', '_', 'g'), '_') as own from {sql_values(VERBS, 'verb')})
+from (select verb, lower(trim(verb)) as raw, trim(regexp_replace(upper(trim(verb)), '[^A-Za-z0-9_]+', '_', 'g'), '_') as own from {sql_made(VERBS_SQL, VERBS, 'verb')})
 """)
 def relation_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, VERBS, "verb string").select("verb", O.canonical_relation(F.col("verb")).alias("relation"))
+    return made(spark, sf_dir, VERBS_SQL, VERBS, "verb string").select("verb", O.canonical_relation(F.col("verb")).alias("relation"))
 
 
 TYPES = [("ORG",), ("Satellite",), ("data format",), ("unknown thing",), (None,), ("Use Case",), ("gpe",)]
+TYPES_SQL = "select distinct c_mktsegment from customer union select distinct p_type from part"
 
 
 @QUERIES.add(f"""
 select raw, coalesce({_sql_map(O.TYPE_ALIASES)}[lower(trim(raw))], case when list_contains({_sql_list(O.NODE_TYPES)}, title) then title end, 'Concept') as type
-from (select raw, array_to_string(list_transform(string_split(trim(raw), ' '), lambda w: upper(w[1]) || lower(w[2:])), '') as title from {sql_values(TYPES, 'raw')})
+from (select raw, array_to_string(list_transform(string_split(trim(raw), ' '), lambda w: upper(w[1]) || lower(w[2:])), '') as title from {sql_made(TYPES_SQL, TYPES, 'raw')})
 """)
 def node_type_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, TYPES, "raw string").select("raw", O.node_type(F.col("raw")).alias("type"))
+    return made(spark, sf_dir, TYPES_SQL, TYPES, "raw string").select("raw", O.node_type(F.col("raw")).alias("type"))
 
 
 SENTENCES = [(1, "Acme Corp acquired Beta Works. Gamma Lab developed Delta Engine"), (2, "Alpha is Omega"), (3, "nothing here"), (4, "Big House owns Small Shed")]
+SENTENCES_SQL = "select 100 + s_suppkey, replace(s_name, '#', ' ') || ' leads ' || n_name || ' Branch. ' || n_name || ' Office is Open' from supplier join nation on s_nationkey = n_nationkey"
 
 
 @QUERIES.add(rf"""
 select id, trim(s) as subject, upper(v) as relation, trim(o) as object, cast(0.4 as double) as confidence from (
-  select id, unnest(regexp_extract_all(t, '{G.SVO}', 1)) as s, unnest(regexp_extract_all(t, '{G.SVO}', 2)) as v, unnest(regexp_extract_all(t, '{G.SVO}', 3)) as o from {sql_values(SENTENCES, 'id, t')})
+  select id, unnest(regexp_extract_all(t, '{G.SVO}', 1)) as s, unnest(regexp_extract_all(t, '{G.SVO}', 2)) as v, unnest(regexp_extract_all(t, '{G.SVO}', 3)) as o from {sql_made(SENTENCES_SQL, SENTENCES, 'id, t')})
 where not list_contains({_sql_list(O.TRIVIAL)}, upper(v))
 """)
 def svo_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.svo(values(spark, SENTENCES, "id int, t string"), "id", "t")
+    return G.svo(made(spark, sf_dir, SENTENCES_SQL, SENTENCES, "id long, t string"), "id", "t")
 
 
 @QUERIES.add()
@@ -107,17 +110,18 @@ def quantity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MEASURES = [(1, "1", "km"), (2, "2.5", "days"), (3, "7", None), (4, "1.2 x 10^3", "MHz"), (5, "40", "parsec"), (6, "3", "GHz")]
+MEASURES_SQL = "select 100 + l_orderkey * 10 + l_linenumber, '' || cast(floor(l_quantity) as int), case l_linenumber % 4 when 0 then 'km' when 1 then 'days' when 2 then 'GHz' else 'parsec' end from lineitem"
 UNIT_ROWS = [(k, b, f) for k, (b, f) in O.UNITS.items()]
 
 
 @QUERIES.add(rf"""
 select id, v * coalesce(factor, 1) as base_value, coalesce(base, '') as base_unit from (
-  select *, case when contains(raw, 'x') then cast(regexp_extract(raw, '^([0-9.]+)', 1) as double) * pow(10, cast(regexp_extract(raw, '\^?(-?[0-9]+)$', 1) as integer)) else cast(raw as double) end as v from {sql_values(MEASURES, 'id, raw, u')})
+  select *, case when contains(raw, 'x') then cast(regexp_extract(raw, '^([0-9.]+)', 1) as double) * pow(10, cast(regexp_extract(raw, '\^?(-?[0-9]+)$', 1) as integer)) else cast(raw as double) end as v from {sql_made(MEASURES_SQL, MEASURES, 'id, raw, u')})
 left join {sql_values(UNIT_ROWS, 'k, base, factor')} on lower(u) = k
 """)
 def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = values(spark, UNIT_ROWS, "k string, base string, factor double")
-    rows = values(spark, MEASURES, "id int, raw string, u string")
+    rows = made(spark, sf_dir, MEASURES_SQL, MEASURES, "id long, raw string, u string")
     power = F.regexp_extract("raw", r"\^?(-?[0-9]+)$", 1).cast("int")
     v = F.when(F.col("raw").contains("x"), F.regexp_extract("raw", r"^([0-9.]+)", 1).cast("double") * F.pow(F.lit(10.0), power)).otherwise(F.expr("try_cast(raw as double)"))
     joined = rows.join(F.broadcast(units), F.lower("u") == F.col("k"), "left")  # the unit table is a constant
@@ -142,27 +146,29 @@ def entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRIPLES = [(1, 0, "A", "carries", "B", 0.9), (1, 1, "a", "carries", "b", 0.95), (1, 2, "A", "is", "C", 0.9), (2, 0, "X", "related to", "Y", 0.9), (2, 1, "P", "acquired", "Q", 1.7), (2, 2, "P", "uses", "p", 0.9), (3, 0, "M", "uses", "N", None), (3, 1, "", "uses", "N", 0.7), (3, 2, "M", "measures", "T", 0.2)]
+TRIPLES_SQL = "select 100 + l_orderkey, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey, l_linestatus, case l_linenumber % 3 when 0 then 'carries' when 1 then 'uses' else 'is' end, l_returnflag, cast(l_discount as double) * 10 from lineitem"
 
 
 @QUERIES.add(f"""
 select chunk, pos, subject, relation, object, confidence from (
   select *, row_number() over (partition by chunk, lower(subject), relation, lower(object) order by pos) as rn from (
-    select chunk, pos, subject, object, cast(greatest(0, least(1, coalesce(c, 0.8))) as double) as confidence, coalesce({_sql_map(O.VERB_TO_RELATION)}[verb], case when verb = 'is' then null else upper(replace(verb, ' ', '_')) end) as relation from {sql_values(TRIPLES, 'chunk, pos, subject, verb, object, c')})
+    select chunk, pos, subject, object, cast(greatest(0, least(1, coalesce(c, 0.8))) as double) as confidence, coalesce({_sql_map(O.VERB_TO_RELATION)}[verb], case when verb = 'is' then null else upper(replace(verb, ' ', '_')) end) as relation from {sql_made(TRIPLES_SQL, TRIPLES, 'chunk, pos, subject, verb, object, c')})
   where subject <> '' and object <> '' and lower(subject) <> lower(object) and relation is not null) where rn = 1 and confidence >= 0.6 and relation <> 'RELATED_TO'
 """)
 def triple_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.validate_triples(values(spark, TRIPLES, "chunk int, pos int, subject string, verb string, object string, confidence double"), 0.6)
+    return G.validate_triples(made(spark, sf_dir, TRIPLES_SQL, TRIPLES, "chunk long, pos long, subject string, verb string, object string, confidence double"), 0.6)
 
 
 ANCHORS = [(1, 0, "Foo", "Concept", "Bar", "Satellite"), (1, 1, "Sat", "Satellite", "Zed", "Concept"), (2, 0, "A", "Concept", "B", "Sensor"), (3, 0, "C", "Concept", "D", "Concept"), (3, 1, "E", "Concept", "F", "Concept")]
+ANCHORS_SQL = "select 100 + o_custkey, o_orderkey, o_orderpriority, case when o_orderkey % 5 = 0 then 'Sensor' else 'Concept' end, o_orderstatus, case when o_orderkey % 7 = 0 then 'Mission' else 'Concept' end from orders"
 
 
 @QUERIES.add(f"""
 select chunk, case when cls = 1 then ob else su end as anchor from (select *, row_number() over (partition by chunk order by cls, pos) as rn from (
-  select *, case when st in ('Satellite', 'Sensor', 'Mission', 'Product') then 0 when ot in ('Satellite', 'Sensor', 'Mission', 'Product') then 1 else 2 end as cls from {sql_values(ANCHORS, 'chunk, pos, su, st, ob, ot')})) where rn = 1
+  select *, case when st in ('Satellite', 'Sensor', 'Mission', 'Product') then 0 when ot in ('Satellite', 'Sensor', 'Mission', 'Product') then 1 else 2 end as cls from {sql_made(ANCHORS_SQL, ANCHORS, 'chunk, pos, su, st, ob, ot')})) where rn = 1
 """)
 def pick_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, ANCHORS, "chunk int, pos int, su string, st string, ob string, ot string")
+    rows = made(spark, sf_dir, ANCHORS_SQL, ANCHORS, "chunk long, pos long, su string, st string, ob string, ot string")
     first = ["Satellite", "Sensor", "Mission", "Product"]
     kind = F.when(F.col("st").isin(first), 0).when(F.col("ot").isin(first), 1).otherwise(2)
     anchor = F.when(kind == 1, F.col("ob")).otherwise(F.col("su"))
@@ -172,7 +178,8 @@ def pick_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add()
 def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = [(1, '{"triples":[{"subject":"A","object":"B"}]}'), (2, 'noise {"triples":[{"subject":"A","object":"B"},{"subject":"C","obj'), (3, "nothing"), (4, None)]
-    return G.salvage(values(spark, answers, "id int, raw string"), "id", "raw")
+    broken = """select 100 + conv_id * 1000 + turn, substr('{"triples":[{"subject":"' || role || '","object":"T' || turn || '"},{"subject":"B","object":"C"}]}', 1, 30 + turn * 9) from conversations"""  # answers that break off
+    return G.salvage(made(spark, sf_dir, broken, answers, "id long, raw string"), "id", "raw")
 
 
 @QUERIES.add("""
@@ -197,11 +204,12 @@ def kg_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MEASURED = [(1, "Sat", "swath", "1400 km"), (2, "sat", "Swath", "1400 KM"), (3, "Sat", "swath", "700 km"), (4, "Oth", "altitude", "2 m")]
+MEASURED_SQL = "select 100 + l_orderkey * 10 + l_linenumber, l_linestatus, l_returnflag, cast(floor(l_quantity) as int) || ' km' from lineitem"
 
 
-@QUERIES.add(f"select lower(entity || '|' || prop || '|' || raw) as key, arg_min(entity, seq) as entity, arg_min(raw, seq) as raw, count(*) as seen from {sql_values(MEASURED, 'seq, entity, prop, raw')} group by 1")
+@QUERIES.add(f"select lower(entity || '|' || prop || '|' || raw) as key, arg_min(entity, seq) as entity, arg_min(raw, seq) as raw, count(*) as seen from {sql_made(MEASURED_SQL, MEASURED, 'seq, entity, prop, raw')} group by 1")
 def kg_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, MEASURED, "seq int, entity string, prop string, raw string").withColumn("key", F.lower(F.concat_ws("|", "entity", "prop", "raw")))
+    rows = made(spark, sf_dir, MEASURED_SQL, MEASURED, "seq long, entity string, prop string, raw string").withColumn("key", F.lower(F.concat_ws("|", "entity", "prop", "raw")))
     return rows.groupBy("key").agg(F.min_by("entity", "seq").alias("entity"), F.min_by("raw", "seq").alias("raw"), F.count("*").alias("seen"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corpusloom.functions import patterns as P, text as X
 from corpusloom.operators import guard, similarity
 from corpusloom.plans.registry import Catalogue, table
-from corpusloom.plans.text_queries import sql_texts_with, sql_values, texts_with, values
+from corpusloom.plans.text_queries import made, sql_made, sql_texts_with, sql_values, texts_with, values
 
 QUERIES = Catalogue()
 
@@ -129,15 +129,16 @@ def source_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUESTS = [(1, "3f2504e0-4f89-41d3-9a0c-0305e82c3301", "hello", None), (2, "not-a-uuid", "hi", None), (3, None, "", "QUJD"), (4, "3F2504E0-4F89-41D3-9A0C-0305E82C3301", "x" * 60, "Q?")]
+REQUESTS_SQL = "select 100 + conv_id * 1000 + turn, case when turn % 3 = 0 then '3f2504e0-4f89-41d3-9a0c-' || (100000000000 + conv_id) when turn % 3 = 1 then role end, text, case when turn % 4 = 0 then 'QUJD' when turn % 4 = 1 then role || '?' end from conversations"
 
 
 @QUERIES.add(rf"""
 select id, array_to_string(list_filter([case when session is not null and not regexp_matches(session, '(?i)^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$') then 'session' end,
   case when length(message) < 1 or length(message) > 50 then 'message' end, case when image is not null and not regexp_matches(image, '^[A-Za-z0-9+/]+={{0,2}}$') then 'image' end], lambda x: x is not null), ',') as problems
-from {sql_values(REQUESTS, 'id, session, message, image')}
+from {sql_made(REQUESTS_SQL, REQUESTS, 'id, session, message, image')}
 """)
 def request_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, REQUESTS, "id int, session string, message string, image string")
+    rows = made(spark, sf_dir, REQUESTS_SQL, REQUESTS, "id long, session string, message string, image string")
     return rows.select("id", F.array_join(guard.request_problems(F.col("session"), F.col("message"), F.col("image"), 50), ",").alias("problems"))
 
 
@@ -168,6 +169,7 @@ ANSWERS = [
     (1, "The swath is 1,400 km wide across the track [S1]. It has 4.50 days of revisit time in all [S2].\nSOURCES: [S1, S2]", "swath 1400 km and revisit 4.5 days", 2), (2, "The altitude is 720 km above the ground here [S1].", "altitude 705 km", 1),
     (3, "GENERAL RULES: the answer is hidden here.", "x", 1), (4, "Nothing numeric at all is claimed in this sentence [S9].", "none", 1),
 ]
+ANSWERS_SQL = "select 100 + conv_id * 1000 + turn, text || case when turn % 2 = 0 then ' It is 720 km wide and takes 36 days [S' || (turn % 4 + 1) || '].' else '' end, 'context of ' || turn || ' and 720', 2 from conversations"
 SQL_NUMS = "list_sort(list_distinct(list_transform(list_transform(regexp_extract_all({0}, '" + P.GROUNDING_NUMBER + r"'), lambda x: replace(x, ',', '')), lambda x: case when contains(x, '.') then regexp_replace(regexp_replace(x, '0+$', ''), '\.$', '') else x end)))"
 
 
@@ -176,10 +178,10 @@ select id, case when leak then 'refuse' when len(unsupported) > 0 or len(fabrica
 from (select id, {' or '.join(f'''regexp_matches(a, '{_q(p)}')''' for p in P.LEAKAGE)} as leak,
    list_filter({SQL_NUMS.format('a')}, lambda x: not list_contains({SQL_NUMS.format('c')}, x)) as unsupported,
    list_sort(list_filter(list_distinct(regexp_extract_all(a, '\\[(S[0-9]+)\\]', 1)), lambda x: cast(substr(x, 2) as integer) > n)) as fabricated
-  from {sql_values(ANSWERS, 'id, a, c, n')})
+  from {sql_made(ANSWERS_SQL, ANSWERS, 'id, a, c, n')})
 """)
 def guard_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, ANSWERS, "id int, a string, c string, n int")
+    rows = made(spark, sf_dir, ANSWERS_SQL, ANSWERS, "id long, a string, c string, n int")
     valid = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("S"), i.cast("string")))
     d = guard.output_decision(F.col("a"), F.col("c"), valid)
     return rows.select("id", d.alias("d")).select("id", "d.action", F.array_join("d.unsupported", ",").alias("unsupported"), F.array_join("d.fabricated", ",").alias("fabricated"))
@@ -189,10 +191,10 @@ def guard_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 select id, case when body = '' then '' when footer = '' then body else body || chr(10) || footer end as stripped from (
   select id, trim(regexp_extract(a, '{P.SOURCES_FOOTER}'), ' ' || chr(10)) as footer,
     array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(a, '{P.SOURCES_FOOTER}', ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '' and not contains(s, '720')), lambda s: trim(s)), ' ') as body
-  from {sql_values(ANSWERS, 'id, a, c, n')})
+  from {sql_made(ANSWERS_SQL, ANSWERS, 'id, a, c, n')})
 """)
 def strip_ungrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, ANSWERS, "id int, a string, c string, n int")
+    rows = made(spark, sf_dir, ANSWERS_SQL, ANSWERS, "id long, a string, c string, n int")
     bad = F.filter(X.sentences(F.regexp_replace("a", P.SOURCES_FOOTER, "")), lambda s: s.contains("720"))
     return rows.select("id", guard.strip_sentences(F.col("a"), bad).alias("stripped"))
 

@@ -8,7 +8,7 @@ from corpusloom.functions import ontology as O
 from corpusloom.operators import graph as G, incremental as I
 from corpusloom.operators.similarity import centroid
 from corpusloom.plans.registry import Catalogue, table
-from corpusloom.plans.text_queries import sql_values, values
+from corpusloom.plans.text_queries import made, sql_made
 from corpusloom.session import fresh_dir
 from corpusloom.sources.artefacts import artefact, table_print
 from corpusloom.sources.csv_files import csv_documents
@@ -67,16 +67,17 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GOLDEN = [("a", "single", "What?", "Ref", True), ("b", "odd", "Why?", "Ref", True), ("b", "oos", "", None, False), (None, "single", "Q", None, True), ("c", "formula", "F?", "x", True)]
+GOLDEN_SQL = "select 100 + conv_id * 1000 + turn, 'q' || conv_id, case turn % 4 when 0 then 'single' when 1 then 'formula' when 2 then 'odd' else 'oos' end, text, case when turn % 3 = 0 then text end, turn % 2 = 0 from conversations"
 STRATA = ["single", "multihop", "comparison", "followup", "numeric_edge", "formula", "oos", "unsafe", "sparse"]
 
 
 @QUERIES.add(f"""
 select pos, array_to_string(list_filter([case when id is null then 'id' end, case when stratum not in ('{"', '".join(STRATA)}') then 'stratum' end, case when trim(question) = '' then 'question' end,
   case when answerable and ref is null then 'reference' end, case when id is not null and n > 1 then 'duplicate' end], lambda x: x is not null), ',') as problems
-from (select *, count(*) over (partition by id) as n, row_number() over () - 1 as pos from {sql_values(GOLDEN, 'id, stratum, question, ref, answerable')})
+from (select *, count(*) over (partition by id) as n from {sql_made(GOLDEN_SQL, [(k, *g) for k, g in enumerate(GOLDEN)], 'pos, id, stratum, question, ref, answerable')})
 """)
 def golden_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, [(k, *g) for k, g in enumerate(GOLDEN)], "pos long, id string, stratum string, question string, ref string, answerable boolean")
+    rows = made(spark, sf_dir, GOLDEN_SQL, [(k, *g) for k, g in enumerate(GOLDEN)], "pos long, id string, stratum string, question string, ref string, answerable boolean")
     repeated = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 and id is not null").select("id", F.lit(True).alias("twice"))
     rows = rows.join(repeated, "id", "left")
     checks = [

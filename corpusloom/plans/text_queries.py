@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import patterns as P, text as X
@@ -34,6 +37,28 @@ def sql_values(rows: list[tuple], names: str) -> str:
     return "(values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") fixture({names})"
 
 
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def made(spark: SparkSession, sf_dir: str, sql: str, rows: list[tuple], schema: str) -> DataFrame:
+    """What a query over the given tables makes, in the columns of `schema`, and the rows of a fixture, which hold what the tables don't.
+
+    The query is plain enough to be part of the SQL that the results are checked against (`sql_made`).
+    """
+    for name in _TABLES:
+        if re.search(rf"\b(from|join) {name}\b", sql):
+            view = f"{name}_{uuid.uuid4().hex}"
+            table(spark, sf_dir, name).createOrReplaceTempView(view)
+            sql = re.sub(rf"\b(from|join) {name}\b", rf"\1 {view}", sql)
+    fixture = values(spark, rows, schema)
+    found = spark.sql(sql).toDF(*fixture.columns)
+    return found.select(*[F.col(c).cast(t) for c, t in fixture.dtypes]).unionByName(fixture)
+
+
+def sql_made(sql: str, rows: list[tuple], names: str) -> str:
+    return f"(select * from ({sql}) rows_made union all select * from {sql_values(rows, names)}) fixture({names})"
+
+
 def texts_with(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
     """(id, t): the texts of documents, and the rows of a fixture, which hold what documents don't."""
     return table(spark, sf_dir, "documents", ["doc_id", "text"]).toDF("id", "t").unionByName(values(spark, rows, "id long, t string"))
@@ -124,16 +149,17 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILES = [(1, "a/Report.PDF", 100), (2, "b/page.html", 5), (3, "notes.md", 9), (4, "sheet.xlsx", 7), (5, "pic.GIF", 30_000_000), (6, "x.exe", 1), (7, "noext", 2), (8, "pic.png", 2000)]
+FILES_SQL = "select 100 + doc_id, source || '/' || doc_id || case doc_id % 6 when 0 then '.pdf' when 1 then '.HTML' when 2 then '.md' when 3 then '.xlsx' when 4 then '.gif' else '.exe' end, n_chars from documents"
 FORMAT_ROWS = [tuple(f) for f in P.FORMATS]
 
 
 @QUERIES.add(f"""
 select id, source_type, category, gated, coalesce(enabled, false) as enabled from
-  (select *, lower(regexp_extract(path, '\\.[^./]+$')) as suffix from {sql_values(FILES, 'id, path, n')}) f
+  (select *, lower(regexp_extract(path, '\\.[^./]+$')) as suffix from {sql_made(FILES_SQL, FILES, 'id, path, n')}) f
   left join (select *, coalesce(switch, 'office') = 'office' as enabled from {sql_values(FORMAT_ROWS, 'sfx, source_type, category, gated, switch, pages')}) r on suffix = sfx
 """)
 def format_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.route_formats(values(spark, FILES, "id int, path string, n long"), switches={"office"}).select("id", "source_type", "category", "gated", "enabled")
+    return chunking.route_formats(made(spark, sf_dir, FILES_SQL, FILES, "id long, path string, n long"), switches={"office"}).select("id", "source_type", "category", "gated", "enabled")
 
 
 @QUERIES.add(f"""
