@@ -113,6 +113,13 @@ def split_text(text: str, size: int, overlap: int) -> list[str]:
     return [p if k == 0 or p.startswith(heading) else heading + p for k, p in enumerate(made) if p.strip()]
 
 
+def safe_windows(docs: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
+    """docs with idx and chunk in the place of `text`: the pieces of split_text, which cut no formula or table; only texts go through Python."""
+    ship(docs.sparkSession)
+    cut = F.pandas_udf(lambda texts: texts.map(lambda t: split_text(t or "", size, overlap)), "array<string>")
+    return docs.select("*", F.posexplode(cut(text)).alias("idx", "chunk")).drop(text)
+
+
 def recursive_split(docs: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
     """(doc_id, parent_id, section_part, chunk): every document cut by split_text; parent_id is a hash of its whole text."""
 

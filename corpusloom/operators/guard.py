@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import patterns as P, text as X
@@ -18,14 +16,13 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u200b-\u200f\u2028-\u202e\ufeff
 def normalize(rows: DataFrame, text: str, most: int = 2000) -> DataFrame:
     """NFKC (no built-in has it), then control characters out, blanks squeezed, cut, long encoded blobs replaced."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(**{text: f[text].map(lambda t: unicodedata.normalize("NFKC", t) if t is not None else "")})
-
     ship(rows.sparkSession)
+    nfkc = F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t)), "string")
+    wide = F.octet_length(text) > F.char_length(text)  # what is plain ASCII stays as it is, and out of Python
+    rows = rows.withColumn("_wide", F.when(wide, F.col(text))).withColumn(text, F.coalesce(F.when(wide, nfkc("_wide")), F.col(text), F.lit(""))).drop("_wide")
     x = F.regexp_replace(F.regexp_replace(text, CONTROL, ""), r"[ \t]+", " ")
     x = F.regexp_replace(F.substring(x, 1, most), r"[A-Za-z0-9+/]{200,}={0,2}", "[ENCODED_CONTENT]")
-    return rows.mapInPandas(run, rows.schema).withColumn(text, F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return rows.withColumn(text, F.regexp_replace(x, r"^\s+|\s+$", ""))
 
 
 def allowed_sources(rows: DataFrame, source: str, allowed: DataFrame) -> DataFrame:

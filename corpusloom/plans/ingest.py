@@ -19,9 +19,9 @@ def new_documents(spark: SparkSession, folders: list[str], manifest_root: str) -
 
 
 def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
-    """Cleaned chunks that pass the quality gate, with features and stable ids."""
+    """Cleaned chunks that pass the quality gate and cut no formula or table, with features and stable ids."""
     cleaned = docs.withColumn("text", X.clean_markdown(F.col("text"))).filter(X.quality_reason(F.col("text")) == "ok")
-    cut = chunking.fixed_windows(cleaned, "text", size, overlap).filter(X.quality_reason(F.col("chunk")) == "ok")
+    cut = chunking.safe_windows(cleaned, "text", size, overlap).filter(X.quality_reason(F.col("chunk")) == "ok")
     chunk = F.col("chunk")
     return cut.select(chunking.chunk_id(F.col("source"), F.col("idx"), chunk).alias("chunk_id"), "source", "file_hash", "idx", "chunk", X.has_formula(chunk).alias("has_formula"), X.has_table(chunk).alias("has_table"), X.numeric_density(chunk).alias("numeric_density"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.functions import text as X
+from corpusloom.functions.html import page_texts
 from corpusloom.operators.chunking import route_formats
 from corpusloom.shipping import ship
 
@@ -38,9 +38,9 @@ def texts(spark: SparkSession, folders: list[str]) -> DataFrame:
 
 
 def html_pages(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(path, text) of HTML files without junk elements."""
+    """(path, file_hash, text) of HTML files, parsed, without junk elements."""
     read = with_content(spark, folders).filter(F.lower("path").rlike(r"\.x?html?$"))
-    return read.select("path", "file_hash", X.strip_html(F.col("content").cast("string")).alias("text"))
+    return page_texts(read.select("path", "file_hash", F.col("content").cast("string").alias("text")), "text", "text")
 
 
 def parsed(files: DataFrame, parsers: list[Callable[[bytes], str | None]]) -> DataFrame:
@@ -91,7 +91,8 @@ def golden_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def node_columns(nodes: DataFrame, body: Column) -> DataFrame:
-    """Columns of JSON:API nodes: uuid, title, text and a hash that changes with either."""
+    """Columns of JSON:API nodes: uuid, title, the parsed text of the body and a hash that changes with either."""
     get = lambda path: F.coalesce(F.get_json_object(body, path), F.lit(""))
-    out = nodes.select(get("$.id").alias("uuid"), get("$.attributes.title").alias("title"), X.strip_html(get("$.attributes.body.value")).alias("text"))
+    out = nodes.select(get("$.id").alias("uuid"), get("$.attributes.title").alias("title"), get("$.attributes.body.value").alias("text"))
+    out = page_texts(out, "text", "text")
     return out.withColumn("content_hash", F.sha2(F.to_json(F.struct("title", "text")), 256))

@@ -96,3 +96,21 @@ def test_paged_source(spark):
     finally:
         server.shutdown()
     assert sorted((r["uuid"], r["title"], r["text"]) for r in found) == [("n1", "T1", "x"), ("n2", "T2", "x"), ("n3", "T3", "x")]
+
+
+def test_an_ingest_keeps_formulas_and_nested_pages_whole(spark, tmp_path):
+    from corpusloom.operators.chunking import safe_windows
+    from corpusloom.plans.ingest import chunk_documents
+
+    prose = "".join(f"Sentence {k} speaks of item{k} and of thing{7 * k} near place{3 * k}. " for k in range(30))
+    formula = "$$ " + " + ".join(f"x_{k}^2" for k in range(60)) + " = y $$"
+    docs = spark.createDataFrame([("a", "h", prose + formula + "\n\n" + prose.upper()), ("b", "h2", None)], "source string, file_hash string, text string")
+    pieces = safe_windows(docs, "text", 600, 50).orderBy("idx").collect()
+    assert pieces[0].asDict().keys() == {"source", "file_hash", "idx", "chunk"} and {r.source for r in pieces} == {"a"}
+    assert sum(formula in r.chunk for r in pieces) == 1 and max(len(r.chunk) for r in pieces if formula not in r.chunk) <= 600
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("cast(doc_id as string) as source", "sha2(text, 256) as file_hash", "text")
+    chunks = chunk_documents(given, 600, 50).select("chunk_id", "source", "idx", "chunk").collect()
+    assert len(chunks) > 100 and max(len(r.chunk) for r in chunks if "$" not in r.chunk and "|" not in r.chunk) <= 600
+    (tmp_path / "p.html").write_text("<div class='cookie-bar'><div>inner</div> still the bar</div><p>Body <b>text</b></p><nav>menu<div>x</div></nav><p>End")
+    page = files.html_pages(spark, [str(tmp_path)]).first()
+    assert "Body text" in " ".join(page.text.split()) and "End" in page.text and "bar" not in page.text and "menu" not in page.text
