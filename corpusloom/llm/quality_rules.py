@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.llm.vocab import PIECE_BPE, trim, vocabulary_path
 from corpusloom.llm.workspace import arrow_map, slices
@@ -190,3 +190,35 @@ def judge(docs: DataFrame, spec: RuleSpec = RuleSpec(), only_kept: bool = False)
 
     schema = docs.schema if only_kept else T.StructType([*docs.schema.fields, *[T.StructField(x, kind) for x, kind, _ in ADDED]])
     return arrow_map(docs, run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))
+
+
+def _script(text: Column) -> Column:
+    """script_of as an expression."""
+    counts = [F.struct(F.regexp_count(text, F.lit(rf"\p{{Is{name}}}")).alias("n"), F.lit(name).alias("name")) for name, _ in _SCRIPTS]
+    most = F.greatest(*counts)
+    return F.when((most["n"] > 0) & (2 * most["n"] >= F.regexp_count(text, F.lit(r"\p{L}"))), most["name"]).otherwise("default")
+
+
+def fit_bands(clean: DataFrame, spec: RuleSpec = RuleSpec(), tail: float = 0.001, margin: float = 0.02, least_texts: int = 50) -> dict[str, Band]:
+    """Bands by language and script from clean texts, docs(doc_id, text, lang).
+
+    Each limit is the value that all but a share `tail` of a group's texts keep once
+    the room for their length is taken off, moved outwards by a share `margin` of
+    it.  Groups of fewer than least_texts texts, a null language among them, keep
+    the bands of `spec`.  All texts take part; the quantiles are summed up in
+    sketches, and a row a group reaches the driver.
+    """
+    found = judge(clean.select("doc_id", "text", "lang"), spec).filter("not base_failed and n_tokens > 0")
+    slack = F.lit(0.3) / F.sqrt("n_tokens")
+    values = {
+        "least_chars": F.col("chars_per_token") / (1 - slack),
+        "most_chars": F.col("chars_per_token") / (1 + slack),
+        "most_fallback": F.greatest(F.lit(0.0), F.col("fallback_share") - slack),
+        "least_entropy": F.col("token_entropy") + slack,
+    }
+    named = found.select(F.explode(F.array_compact(F.array("lang", _script(F.col("text"))))).alias("name"), *[v.alias(k) for k, v in values.items()])
+    low = {"least_chars", "least_entropy"}
+    limits = [F.percentile_approx(k, tail if k in low else 1 - tail, 10_000).alias(k) for k in values]
+    rows = named.groupBy("name").agg(F.count("*").alias("n"), *limits).filter(F.col("n") >= least_texts).collect()
+    moved = {r["name"]: {k: r[k] * (1 - margin if k in low else 1 + margin) for k in values} for r in rows}
+    return dict(spec.bands) | {name: Band(**{**of, "most_fallback": min(1.0, of["most_fallback"] + margin)}) for name, of in moved.items()}

@@ -47,3 +47,27 @@ def test_measures_and_verdicts_against_brute_force(spark):
         assert (got["n_tokens"], got["base_failed"]) == (n, failed)
         assert (got["chars_per_token"], got["fallback_share"], got["token_entropy"]) == pytest.approx((chars, fallback, entropy))
         assert got["kept"] == (not failed and inside[r["lang"]])
+
+
+def test_fitted_bands_hold_on_a_fold_that_did_not_teach(spark):
+    """Bands from clean texts of three folds, judged on the fourth."""
+    from corpusloom.llm.quality_rules import RuleSpec, fit_bands
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").repartition(8).join(labels, "doc_id").withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 4)
+    bands = fit_bands(docs.filter("quality = 1 and fold <> 2"))
+    assert {"en", "de", "fr", "es", "Latin"} <= {k for k in bands if bands[k] != BANDS.get(k)} and bands["Greek"] == BANDS["Greek"]
+    judged = judge(docs.filter("fold = 2"), RuleSpec(bands=bands)).filter("not base_failed")
+    n = {(r["quality"], r["kept"]): r["n"] for r in judged.groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
+    print("held out:", n)
+    assert n.get((1, False), 0) <= 0.01 * n[1, True] and n[0, False] >= 0.7 * (n[0, False] + n.get((0, True), 0))
+
+
+def test_scripts_as_an_expression(spark):
+    from corpusloom.llm.quality_rules import _script, fit_bands, script_of
+
+    texts = ["plain", "Привет мир", "καλημέρα", "日本語", "", "1 2 3", "ab日本語本", "mixed Привет ab"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _script(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == {t: script_of(t) for t in texts}
+    assert fit_bands(spark.createDataFrame([], "doc_id long, text string, lang string")) == BANDS
