@@ -113,6 +113,39 @@ def community_search(questions: DataFrame, key: str, text: str, edges: DataFrame
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
+def answer_context(questions: DataFrame, edges: DataFrame, chunks: DataFrame, seeds_each: int = 6, hops: int = 2, paths_each: int = 50, kept: int = 8, evidence_each: int = 3, hubs_each: int = 2, least_edges: int = 3, members: int = 50) -> DataFrame:
+    """(question, seeds, facts, evidence, communities): what a graph has to say to each of questions(question, t), as lines in order.
+
+    The chain of a graph retriever: the names in a question that are nodes, paths
+    around them, the paths that share most words with the question, chunks(node,
+    chunk, line, weight) of the nodes that these paths reach, the heaviest first,
+    and the communities whose members the question names.  Questions without
+    nodes have empty parts.  Chunks are cut to a few a node before they meet
+    questions, and paths to `paths_each` a seed, so no part grows with a node's
+    degree.
+    """
+    from corpusloom.session import cut
+
+    start = cut(seeds(questions, "question", "t", edges, seeds_each))
+    around = paths(start.select("seed").distinct(), edges, hops, paths_each)
+    asked = questions.select("question", X.tokens(F.col("t")).alias("asked"))
+    met = start.join(around, "seed").groupBy("question", "length", "path").agg(F.min("node").alias("node")).join(asked, "question")
+    words = X.tokens(F.replace("path", F.lit("_"), F.lit(" ")))
+    scored = met.withColumn("words", words).withColumn("score", F.round(F.size(F.filter("words", lambda w: F.array_contains("asked", w))) / F.size("words"), 6))
+    best = cut(scored.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "length", "path"))).filter(F.col("rank") <= kept).select("question", "rank", "path", "node"))
+    nodes = best.select("question", "node").unionByName(start.select("question", F.col("seed").alias("node"))).distinct()
+    heaviest = [F.desc("weight"), "chunk"]
+    few = chunks.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(*heaviest))).filter(F.col("at") <= evidence_each)
+    met = nodes.join(few, "node").groupBy("question", "chunk").agg(F.max("weight").alias("weight"), F.min("line").alias("line"))
+    found = met.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(*heaviest))).filter(F.col("rank") <= evidence_each)
+    hubs_ = community_search(questions, "question", "t", edges, least_edges, members, hubs_each)
+    lines = lambda rows, line, name: rows.groupBy("question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line))), lambda x: x[line]), "\n").alias(name))  # noqa: E731  a few rows a question
+    out = questions.select("question")
+    for rows, line, name in ((start, "seed", "seeds"), (best, "path", "facts"), (found, "line", "evidence"), (hubs_, "hub", "communities")):
+        out = out.join(lines(rows, line, name), "question", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out
+
+
 def mine_quantities(rows: DataFrame, key: str, text: str) -> DataFrame:
     """One row a measurement found in a text."""
     ship(rows.sparkSession)

@@ -341,3 +341,38 @@ def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     for other in (edges.agg(F.count("*").alias("relations")), docs.agg(F.count("*").alias("documents"), F.count_distinct("source").alias("sources"))):
         counts = counts.join(F.broadcast(other), F.lit(True))  # one row each
     return counts
+
+
+_CHAIN_SQL = f"""
+qs as (select n_nationkey as question, 'Which suppliers are located in ' || n_name || ' or elsewhere in ' || r_name || ' and near CHINA?' as t from nation join region on n_regionkey = r_regionkey union all select -1, 'nothing named'),
+degree as (select node, count(*) as degree from (select src as node from edges union all select dst from edges) group by node),
+said as (select question, unnest(es) as node, generate_subscripts(es, 1) as pos from (select question, regexp_extract_all(t, '[A-Z][A-Za-z]+') as es from qs)),
+start as (select question, node as seed, row_number() over (partition by question order by degree, lowest, node) as rank from (select question, node, min(pos) as lowest from said group by all) join degree using (node) qualify rank <= 6),
+walk as (select seed, seed as node, cast([] as varchar[]) as es, 0 as length from (select distinct seed from start)
+  union all select seed, b, list_append(es, edge), length + 1 from walk join both_ways on a = node where length < 2 and not list_contains(es, edge)),
+around as (select seed, length, array_to_string(es, ' | ') as path, node from walk where length > 0 qualify row_number() over (partition by seed order by length, array_to_string(es, ' | ')) <= 50),
+met as (select question, length, path, min(node) as node from start join around using (seed) group by all),
+worded as (select *, {SQL_TOKENS.replace("text", "replace(path, '_', ' ')")} as words from met join (select question, {SQL_TOKENS.replace("text", "t")} as asked from qs) using (question)),
+best as (select question, path, node, row_number() over (partition by question order by round(len(list_filter(words, lambda w: list_contains(asked, w))) / len(words), 6) desc, length, path) as rank from worded qualify rank <= 8),
+nodes as (select question, node from best union select question, seed from start),
+few as (select n_name as node, c_custkey as chunk, c_name || ' of ' || n_name as line, c_acctbal as weight from customer join nation on c_nationkey = n_nationkey qualify row_number() over (partition by n_name order by c_acctbal desc, c_custkey) <= 3),
+found as (select question, line, row_number() over (partition by question order by weight desc, chunk) as rank from (select question, chunk, max(weight) as weight, min(line) as line from nodes join few using (node) group by all) qualify rank <= 3),
+hub as (select node from degree where degree >= 3), summary as (select node as hub, lower(node || ' ' || array_to_string(list_sort(list(distinct b))[1:50], ' ')) as summary from hub join both_ways on a = node group by node),
+hits as (select question, hub, len(list_filter(list_distinct(regexp_extract_all(t, '[A-Za-z]+')), lambda w: list_contains(string_split(summary, ' '), lower(w)))) as hits from qs, summary),
+near as (select question, hub, row_number() over (partition by question order by hits desc, hub) as rank from hits where hits > 0 qualify rank <= 2)
+"""
+
+
+@QUERIES.add(f"""
+with recursive {EDGES_SQL}, {BOTH_SQL}, {_CHAIN_SQL}
+select question, coalesce((select string_agg(seed, chr(10) order by rank) from start where start.question = qs.question), '') as seeds, coalesce((select string_agg(path, chr(10) order by rank) from best where best.question = qs.question), '') as facts,
+  coalesce((select string_agg(line, chr(10) order by rank) from found where found.question = qs.question), '') as evidence, coalesce((select string_agg(hub, chr(10) order by rank) from near where near.question = qs.question), '') as communities from qs
+""")
+def graph_answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole graph chain: six seeds, paths of two hops, the eight that share most words with the question, three pieces of evidence, two communities."""
+    n, edges = table(spark, sf_dir, "nation"), _edges(spark, sf_dir)
+    asked = n.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("question"), F.concat(F.lit("Which suppliers are located in "), "n_name", F.lit(" or elsewhere in "), "r_name", F.lit(" and near CHINA?")).alias("t"))
+    questions = asked.unionByName(values(spark, [(-1, "nothing named")], "question long, t string"))
+    customers = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    chunks = customers.select(F.col("n_name").alias("node"), F.col("c_custkey").alias("chunk"), F.concat("c_name", F.lit(" of "), "n_name").alias("line"), F.col("c_acctbal").alias("weight"))
+    return G.answer_context(questions, edges, chunks)
