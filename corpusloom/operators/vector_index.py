@@ -142,7 +142,8 @@ class VectorIndex:
 
         ship(self.spark)
         placed = cut(new.select("vec_id", "v").mapInArrow(assign, f"{self.schema}, near double"))
-        placed.drop("near").write.mode("overwrite").partitionBy("cell").parquet(f"{self.root}/vectors/version={number}")
+        ordered = placed.drop("near").repartitionByRange("cell", "vec_id")  # few files a cell, and a large cell over several tasks
+        ordered.write.mode("overwrite").partitionBy("cell").parquet(f"{self.root}/vectors/version={number}")
         stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("least")).select(F.lit(number).alias("version"), "cell", "n", "least")
         if (written := T.write_version(stats, f"{self.root}/stats")) != number:
             raise RuntimeError(f"version {number} was written as {written}: one insert at a time")
