@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, str(pathlib.Path(__file__).parent))
 import brute  # noqa: E402
 
-from corpusloom.llm.near_copies import CopySpec, copy_links, copy_prints, near_copies, search  # noqa: E402
+from corpusloom.llm.near_copies import CopySpec, copy_links, copy_prints, linked, near_copies, search  # noqa: E402
 from corpusloom.llm.workspace import cut  # noqa: E402
 
 
@@ -124,3 +124,32 @@ def test_segment_bits_follow_the_rows():
     from corpusloom.llm.near_copies import bits_for
 
     assert [bits_for(n) for n in (0, 1, 2, 1_000, 213_722, 1 << 24, 1 << 40)] == [8, 8, 8, 17, 25, 31, 31]
+
+
+def test_links_are_the_same_beside_any_number_of_rows(spark, copies):
+    rnd, rows = random.Random(5), []
+    for k in range(200):  # pairs near the limit, which long segments would miss
+        words = [f"v{rnd.randrange(4000)}" for _ in range(200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, mutated(words, rnd, 0.025))]
+    few = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    others = spark.range(1 << 20, (1 << 20) + 70_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 9), k -> hash(id, k))) AS text")
+
+    def found(docs):
+        return sorted(sorted(g) for g in groups(r for r in near_copies(docs).collect() if r["doc_id"] < 400))
+
+    alone = found(few)
+    assert 300 > len(alone) > 200 and found(few.unionByName(others)) == alone
+
+
+@pytest.mark.parametrize("compare_at", [0, 3, 1024])
+def test_rows_linked_in_their_groups(compare_at):
+    rnd = np.random.default_rng(4)
+    for most in (1, 4, 10):
+        sizes = np.concatenate((rnd.integers(1, 4, 300), [1, 60, 2, 700]))
+        starts = np.cumsum(sizes) - sizes
+        w0, w1 = (rnd.integers(0, 1 << 16, sizes.sum()).astype(np.uint64) for _ in range(2))
+        due = np.zeros(len(w0), bool)
+        for a, n in zip(starts, sizes, strict=True):
+            own = np.bitwise_count(w0[a : a + n, None] ^ w0[a : a + n]).astype(int) + np.bitwise_count(w1[a : a + n, None] ^ w1[a : a + n])
+            due[a : a + n] = (own <= most).sum(1) > 1 if n <= compare_at else True
+        assert (linked(w0, w1, starts, most, compare_at) == due).all()
